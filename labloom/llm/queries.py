@@ -17,8 +17,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.spans import shared_spans
+
+    return shared_spans(_table(spark, sf_dir, "documents"))
+
+
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.spans import shared_share
+
+    return shared_share(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share}
 
 
 def oracle_sql() -> dict[str, str]:
