@@ -17,6 +17,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "container_spec"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labloom.llm.spans import shared_spans
 
@@ -30,7 +36,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share}
+    return {"p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
 
 
 def oracle_sql() -> dict[str, str]:
