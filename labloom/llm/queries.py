@@ -11,6 +11,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PLAIN_FIELDS = ["raw_analyte_label", "raw_reference_range", "raw_text"]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.plain import changed_fields
+
+    return changed_fields(_table(spark, sf_dir, "observation"), PLAIN_FIELDS).select(F.col("id").alias("observation_id"), "field_name")
+
+
+def p5_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.plain import plain_fields
+
+    return plain_fields(_table(spark, sf_dir, "observation"), PLAIN_FIELDS).withColumnRenamed("id", "observation_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labloom.llm.tokens import encode
 
@@ -36,7 +51,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
+    return {"p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
 
 
 def oracle_sql() -> dict[str, str]:
