@@ -11,6 +11,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.canonical import map_observations
+
+    return map_observations(*(_table(spark, sf_dir, t) for t in ("observation", "launch_scope_rules", "unit_dim")))
+
+
+def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many observations each label without an entry has, over all labels."""
+    found = p2_found(spark, sf_dir).where("candidate_code = '__unmapped__'")
+    labels = _table(spark, sf_dir, "observation").select(F.col("id").alias("observation_id"), "raw_analyte_label")
+    return found.join(labels, "observation_id").groupBy("raw_analyte_label").agg(F.count("*").alias("n"))
+
+
 PLAIN_FIELDS = ["raw_analyte_label", "raw_reference_range", "raw_text"]
 
 
@@ -51,7 +64,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
+    return {"p2_found": p2_found, "p2_misses": p2_misses, "p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
 
 
 def oracle_sql() -> dict[str, str]:
