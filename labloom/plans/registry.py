@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labloom.operators.units import other_units, recorded_units
 from labloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "jobs").groupBy("status", "current_step").count()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations printed in another unit than their analyte's canonical one."""
+    return other_units(*(table(spark, sf_dir, t) for t in ("observation", "launch_scope_rules", "unit_dim")))
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every coded observation with its value in the canonical unit."""
+    return recorded_units(*(table(spark, sf_dir, t) for t in ("observation", "launch_scope_rules", "unit_dim")))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p4_found": p4_found, "p4_canonical": p4_canonical}
 
 
 def oracle_sql() -> dict[str, str]:
