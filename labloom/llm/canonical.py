@@ -19,6 +19,8 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labloom.llm.plain import connect, plain_query, to_plain
+
 UNMAPPED = "__unmapped__"
 #: The reference list is sent to every task; beyond so many names it must not be.
 MAX_NAMES = 50_000
@@ -155,13 +157,13 @@ class Names:
 
 
 def _map_batches(names: list[tuple[str, str, int]], units: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from labloom.llm.plain import connect, to_plain
+    query = plain_query()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, known, seen = connect(), Names(names, units), {}
         for batch in batches:
             codes = []
-            for label in to_plain(con, batch.column(1)).to_pylist():
+            for label in to_plain(con, batch.column(1), query).to_pylist():
                 if label not in seen:
                     if len(seen) > 200_000:  # forgets, to stay small; codes don't depend on it
                         seen.clear()

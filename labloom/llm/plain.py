@@ -67,24 +67,27 @@ def plain_sql(column: str) -> list[str]:
     when = "CASE WHEN regexp_matches({c}, {p}) THEN {e} ELSE {c} END"
     say = lambda pattern, expression: when.format(c=column, p=_quoted(pattern), e=expression)
     each = f"CASE WHEN regexp_matches(w, {_quoted(_class(look))}) AND (regexp_matches(w, '\\p{{Latin}}') OR NOT regexp_matches(w, {_quoted('[^' + _class(look)[1:-1] + r'\p{M}]')})) THEN translate(w, {_quoted(look)}, {_quoted(''.join(LOOKALIKES.values()))}) ELSE w END"
-    steps = [
+    return [
         say(_class("".join(wide)), f"translate({column}, {_quoted(''.join(wide))}, {_quoted(''.join(wide.values()))})"),
-        say(_class("".join(rest)), f"array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda c: coalesce((SELECT m FROM compat_map)[c], c)), '')"),
+        say(_class("".join(rest)), f"array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda c: coalesce(MAP {{{entries}}}[c], c)), '')"),
         say(_class(invisible), f"regexp_replace({column}, {_quoted(_class(invisible))}, '', 'g')"),
         say(_class(spaces), f"regexp_replace({column}, {_quoted(_class(spaces))}, ' ', 'g')"),
         say(_class(look), f"array_to_string(list_transform(regexp_extract_all({column}, {_quoted(f'{words}+|[^' + words[1:] + '+')}), lambda w: {each}), '')"),
         say(r"[^\x00-\x7f]", f"nfc_normalize({column})"),
     ]
-    steps[1] = steps[1].replace("(SELECT m FROM compat_map)", f"MAP {{{entries}}}")
-    return steps
 
 
-def to_plain(con, values: pa.Array) -> pa.Array:
-    """The plain form of every string. Only strings with characters beyond ASCII pass through the expressions."""
-    con.register("given", pa.table({"i": pa.array(range(len(values)), pa.int64()), "s": values}))
+def plain_query() -> str:
+    """The embedded SQL: plain forms of the strings s of a table given(i, s) that have characters beyond ASCII."""
     query = "SELECT i, s FROM given WHERE regexp_matches(s, '[^\\x00-\\x7f]')"
     for step in plain_sql("s"):
         query = f"SELECT i, {step} AS s FROM ({query})"
+    return query
+
+
+def to_plain(con, values: pa.Array, query: str) -> pa.Array:
+    """The plain form of every string, by plain_query(), which is built once on the driver."""
+    con.register("given", pa.table({"i": pa.array(range(len(values)), pa.int64()), "s": values}))
     found = con.sql(query).to_arrow_table()
     con.unregister("given")
     if not found.num_rows:
@@ -111,6 +114,7 @@ def connect():
 
 def _plain_batches(fields: int):
     """For mapInArrow: id, then string columns; they come out plain, with a list of the names of those that weren't."""
+    query = plain_query()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -118,7 +122,7 @@ def _plain_batches(fields: int):
         con = connect()
         for batch in batches:
             names = batch.schema.names
-            plain = [to_plain(con, batch.column(i + 1)) for i in range(fields)]
+            plain = [to_plain(con, batch.column(i + 1), query) for i in range(fields)]
             changed = [pc.fill_null(pc.not_equal(plain[i], batch.column(i + 1)), False).to_pylist() for i in range(fields)]
             listed = pa.array([[names[i + 1] for i in range(fields) if row[i]] for row in zip(*changed, strict=True)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *plain, listed], [*names, "_changed"])
