@@ -24,6 +24,18 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(labels, "observation_id").groupBy("raw_analyte_label").agg(F.count("*").alias("n"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.truncation import cut_fields
+
+    return cut_fields(_table(spark, sf_dir, "extracted_row"), _table(spark, sf_dir, "unit_dim"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labloom.llm.truncation import cut_rates
+
+    return cut_rates(_table(spark, sf_dir, "extracted_row"), _table(spark, sf_dir, "unit_dim"))
+
+
 PLAIN_FIELDS = ["raw_analyte_label", "raw_reference_range", "raw_text"]
 
 
@@ -64,7 +76,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_misses": p2_misses, "p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
+    return {"p2_found": p2_found, "p2_misses": p2_misses, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
 
 
 def oracle_sql() -> dict[str, str]:
