@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labloom.operators.nested import pack_rows
 from labloom.operators.units import other_units, recorded_units
 from labloom.session import table
 
@@ -17,6 +18,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "jobs").groupBy("status", "current_step").count()
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each child of each pack in the payloads."""
+    return pack_rows(table(spark, sf_dir, "proof_packs")).drop("attributes")
+
+
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each child's own values, as JSON."""
+    return pack_rows(table(spark, sf_dir, "proof_packs")).withColumn("attributes", F.to_json("attributes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations printed in another unit than their analyte's canonical one."""
     return other_units(*(table(spark, sf_dir, t) for t in ("observation", "launch_scope_rules", "unit_dim")))
@@ -28,7 +39,7 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_canonical": p4_canonical}
+    return {"p1_found": p1_found, "p1_rows": p1_rows, "p4_found": p4_found, "p4_canonical": p4_canonical}
 
 
 def oracle_sql() -> dict[str, str]:
