@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labloom.operators.nested import pack_rows
 from labloom.operators.units import other_units, recorded_units
+from labloom.plans import aggregate_queries, catalog, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
+from labloom.plans.catalog import Query
 from labloom.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs by status and step."""
     return table(spark, sf_dir, "jobs").groupBy("status", "current_step").count()
@@ -39,8 +36,8 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_rows": p1_rows, "p4_found": p4_found, "p4_canonical": p4_canonical}
+    return {"p1_found": p1_found, "p1_rows": p1_rows, "p4_found": p4_found, "p4_canonical": p4_canonical} | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
