@@ -21,7 +21,7 @@ CATEGORY_PATTERNS = [r"(?i)^\s*(normal|prediabetes|dm|a1|a2|a3)\b", r"^\s*(<=|>=
 NOISE_PREFIXES = ["ref :", "dob :", "ic no", "collected :", "referred :", "report printed :", "source:"]
 NOISE_MARKERS = ["clinical practice guidelines", "courier run", "kdigo", "not valid for pregnant", "ward : lab no"]
 NOISE_LABELS = ["<", "<=", ">", ">=", "collected", "dob", "normal", "referred", "ref", "report printed", "source"]
-ADDRESS_PATTERN = r"\b(city|state|st|zip|jalan|petaling|sel)\b"
+ADDRESS_PATTERN = r"(^|[^a-z0-9_])(city|state|st|zip|jalan|petaling|sel)($|[^a-z0-9_])"
 QUALITATIVE = ["positive", "negative", "reactive", "nonreactive", "detected", "not detected", "present", "absent", "trace", "none", "normal", "abnormal", "dnr", "ldnr", "oor"]
 ADMIN_MARKERS = ["dob", "date of birth", "report printed", "collected", "referred", "requisition", "reference range", "guideline", "notes"]
 FRAGMENT_PATTERN = r"(?i)^(?:[<>]=?|≤|≥)?\s*\d[\d,]*(?:\.\d+)?\s*(?:-|–|to)\s*(?:[<>]=?|≤|≥)?\s*\d[\d,]*(?:\.\d+)?$"
