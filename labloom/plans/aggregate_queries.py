@@ -210,7 +210,7 @@ def ag26_known_counters(t: Tables) -> DataFrame:
     return known.join(per, "name", "left").select("name", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-@query("SELECT 'extracted_row' AS entity, count(*) AS n FROM extracted_row UNION ALL SELECT 'observation', count(*) FROM observation UNION ALL SELECT 'candidate', sum(len(candidates)) FROM observation UNION ALL SELECT 'job', count(*) FROM jobs")
+@query("SELECT 'extracted_row' AS entity, count(*) AS n FROM extracted_row UNION ALL SELECT 'observation', count(*) FROM observation UNION ALL SELECT 'candidate', sum(len(candidates))::BIGINT FROM observation UNION ALL SELECT 'job', count(*) FROM jobs")
 def ag27_entity_counts(t: Tables) -> DataFrame:
     of = lambda name, df, n: df.agg(n.alias("n")).select(F.lit(name).alias("entity"), F.col("n").cast("bigint").alias("n"))
     one = F.count("*")

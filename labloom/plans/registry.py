@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labloom.operators.nested import pack_rows
 from labloom.operators.units import other_units, recorded_units
-from labloom.plans import aggregate_queries, catalog, page_queries, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
+from labloom.plans import aggregate_queries, catalog, decision_queries, page_queries, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
 from labloom.plans.catalog import Query
 from labloom.session import table
 
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs by status and step."""
-    return table(spark, sf_dir, "jobs").groupBy("status", "current_step").count()
+    """Every coded observation with its value in the canonical unit."""
+    return p4_canonical(spark, sf_dir)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def flt17_hidden_markers(t: Tables) -> DataFrame:
 def flt18_line_structure(t: Tables) -> DataFrame:
     """Pages whose text has lines that their boxes lack."""
     n, boxes = F.size(F.split("text", "\n")), F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
-    return t.documents.where("text is not null").select("doc_id", n.alias("text_lines"), boxes.alias("boxes"), ((n > 1) & (boxes <= 1)).alias("lost"))
+    return t.documents.where("text is not null").select("doc_id", n.cast("bigint").alias("text_lines"), boxes.cast("bigint").alias("boxes"), ((n > 1) & (boxes <= 1)).alias("lost"))
 
 
 @query(f"SELECT j.id, j.user_id, j.lane_type FROM jobs j WHERE j.user_id = (SELECT max(user_id) FROM jobs) AND j.lane_type IN ({', '.join(map(Q, LANES))})")
