@@ -1,13 +1,13 @@
 """Sequential folds over a page or a key, where what becomes of a row depends on what became of those before it.
 
-Geometry folds run over the array of boxes of one page with a higher-order aggregate, without a shuffle. Folds with richer
-state group by their key and run in Arrow.
+Geometry folds run over the array of boxes of one page with a higher-order aggregate, without a shuffle. Rows of labels and
+values come out of windows. Folds with richer state group by their key and run in Arrow.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def bands_by_running_value(boxes: Column, key, value, close, update) -> Column:
@@ -77,70 +77,46 @@ def rate_limited(events: DataFrame, key: str, time: str, tie: str, most: int = 2
 #: Words that mark a heading, and words that keep a label from being joined to a value.
 HEADINGS = ["panel", "profile", "diagnosis", "report", "results", "tests"]
 NOT_JOINED = ["diagnosis", "request", "comment", "note", "page "]
+#: Fixed pattern: a line that can only stand beside a value that is there already.
+BESIDE = r"^(?:\d{1,2}|%(?:\s+\d{1,2})?|(?:(?:<\s*or\s*=|>\s*or\s*=|<=|>=|<|>|≤|≥)?\s*\d.*))$"
 
 
 def label_value_groups(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Lines of a page grouped into rows: labels wait for the value that follows them.
+    """Lines of a page grouped into rows of labels and the value that follows: keys, group, lines.
 
-    ``lines`` has ``kind`` (label, value, continuation, excluded, empty) and ``line``. A value closes its group at the next
-    label or value, an excluded line drops what waits. Labels alone are joined to the next group with a value if they may
-    be: at most three lines and ten words, no colon at the end, no heading. Comes out as keys, group, lines, has_value.
+    ``lines`` has ``kind`` (label, value, continuation, excluded, empty) and ``line``. Excluded lines part a page. A row ends
+    with its value and what continues it, so a line's row is the number of values before it; windows say all of that, no
+    line waits for another. Labels before a value stay with it if they may: at most three lines and ten words, no colon at
+    an end, no word that keeps them apart; headings in front are left off. Rows without a value are left out.
     """
-    fields = {f.name: f.dataType.simpleString() for f in lines.select(*keys).schema}
-
-    def heading(group):
-        text = " ".join(" ".join(group).lower().split())
-        if not text or any(c.isdigit() for c in text):
-            return False
-        return any(h in text for h in HEADINGS) or (all(x.strip().isupper() for x in group) and len(text.split()) <= 6)
-
-    def joinable(group):
-        parts = [" ".join(x.lower().split()) for x in group if x.strip()]
-        text = " ".join(parts)
-        return bool(parts) and len(parts) <= 3 and len(text.split()) <= 10 and any(c.isalpha() for c in text) and not any(p.endswith(":") for p in parts) and not any(m in text for m in NOT_JOINED)
-
-    def fold(items):
-        groups, open_, valued = [], [], False
-        for kind, line in items:
-            if kind == "empty":
-                continue
-            if kind == "excluded":
-                if open_ and valued:
-                    groups.append((open_, True))
-                open_, valued = [], False
-            elif kind == "value":
-                if valued and open_:
-                    groups.append((open_, True))
-                    open_ = []
-                elif open_ and not joinable(open_):
-                    open_ = []
-                while len(open_) > 1 and heading(open_[:1]):
-                    open_ = open_[1:]
-                open_, valued = [*open_, line], True
-            elif kind == "continuation" or not (valued and open_):
-                open_ = [*open_, line]
-            else:
-                groups.append((open_, True))
-                open_, valued = [line], False
-        if open_:
-            groups.append((open_, valued))
-        out, waiting = [], []
-        for group, has in groups:
-            if has:
-                out.append(waiting + group if waiting and joinable(waiting) else group)
-                waiting = []
-            else:
-                waiting = [] if heading(group) or not joinable(group) else list(group)
-        return out
-
-    def run(key, table):
-        rows = sorted(zip(table.column(order).to_pylist(), table.column("kind").to_pylist(), table.column("line").to_pylist(), strict=True))
-        groups = fold([(k, x) for _, k, x in rows])
-        cols = {k: pa.array([v.as_py()] * len(groups), v.type) for k, v in zip(keys, key, strict=True)}
-        return pa.table({**cols, "group": pa.array(range(len(groups)), pa.int32()), "lines": pa.array(groups, pa.list_(pa.string()))})
-
-    types = ", ".join(f"`{k}` {t}" for k, t in fields.items())
-    return lines.select(*keys, order, "kind", "line").groupBy(*keys).applyInArrow(run, f"{types}, group int, lines array<string>")
+    on = [F.col(k) for k in keys]
+    low = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    held = lambda x, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
+    w = Window.partitionBy(*on).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    part = F.coalesce(F.sum((F.col("kind") == "excluded").cast("int")).over(before), F.lit(0))
+    t = lines.select(*keys, order, "kind", "line").where("kind <> 'empty'").withColumn("part", part).where("kind <> 'excluded'")
+    in_part = Window.partitionBy(*on, "part").orderBy(order)
+    so_far = in_part.rowsBetween(Window.unboundedPreceding, -1)
+    # a line that stands beside a value is one only where a label, or nothing, comes before it
+    held_before = F.coalesce(F.last(F.when(F.col("kind") != "continuation", F.col("kind")), True).over(so_far), F.lit("label"))
+    beside = (F.col("kind") == "value") & low(F.col("line")).rlike(BESIDE) & (held_before == "value")
+    t = t.withColumn("kind", F.when(beside, "continuation").otherwise(F.col("kind")))
+    values = F.coalesce(F.sum((F.col("kind") == "value").cast("int")).over(so_far), F.lit(0))
+    # what continues a value belongs to the value's row
+    ended = F.coalesce(F.last(F.when(F.col("kind") != "continuation", F.col("kind")), True).over(so_far), F.lit("label")) == "value"
+    row = values - F.when((F.col("kind") == "continuation") & ended, 1).otherwise(0)
+    g = t.withColumn("row", row).groupBy(*keys, "part", "row").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "kind", "line"))).alias("all"))
+    g = g.withColumn("v", F.array_position(F.transform("all", lambda x: x["kind"]), "value").cast("int")).where("v > 0")
+    front = F.transform(F.slice("all", F.lit(1), F.col("v") - 1), lambda x: x["line"])
+    g = g.withColumn("front", front).withColumn("text", F.array_join(F.transform("front", low), " "))
+    heading = lambda x: ~low(x).rlike("[0-9]") & (held(low(x), HEADINGS) | ((x == F.upper(x)) & x.rlike("[A-Z]") & (F.size(F.split(low(x), " ")) <= 6)))
+    joined = (F.size("front") > 0) & (F.size("front") <= 3) & (F.size(F.split("text", " ")) <= 10) & F.col("text").rlike("(?U)[\\p{Alpha}]") & ~F.exists("front", lambda x: low(x).endswith(":")) & ~held(F.col("text"), NOT_JOINED)
+    first = F.array_position(F.transform("front", lambda x: ~heading(x)), True).cast("int")
+    labels = F.when(joined & (first > 0), F.slice("front", first, F.size("front"))).otherwise(F.array().cast("array<string>"))
+    rest = F.transform(F.slice("all", F.col("v"), F.size("all")), lambda x: x["line"])
+    number = F.row_number().over(Window.partitionBy(*on).orderBy("part", "row")) - 1
+    return g.select(*keys, number.alias("group"), F.concat(labels, rest).alias("lines"))
 
 
 def greedy_clusters(rows: DataFrame, keys: list[str], order: str, label: str, score: str, id_col: str) -> DataFrame:
