@@ -29,6 +29,8 @@ PREFIX, MAX_EDITS = 9, 3
 CONFUSED = ["o0a", "il1t", "s5", "ce", "nu", "tf", "bh", "g9q", "vu", "b8", "z2"]
 #: Trimmings around a label, as patterns for its lower-case form.
 NOTES = r"\[see note\]|\[photometric\]|\(eclia\)|\(venous\)"
+#: Words that say nothing of what is measured; an abbreviation of two letters beside one isn't corrected.
+CONTEXT = re.compile(r"\b(?:serum|plasma|blood|level)\b")
 FRONT = r"^(?:[\W_]+|\d+\.\s+|lab:\s*|[sp]-)"
 BACK = r"(?:\s*/\s*fasting|\s+-\s+repeat|\s+2nd\s+sample|\s+conc\.?|\s+result|\s+level:|[\s*:]+|\s[hl*])$"
 
@@ -134,9 +136,9 @@ class Names:
         return hit[1] if hit else None
 
     def close(self, form: str) -> tuple[float, int, str] | None:
-        best = None
+        best, own = None, letters(CONTEXT.sub(" ", form))
         for k in {key(form), letters(form)} - {""}:
-            most = allowed(len(k))
+            most = min(allowed(len(k)), 0.5) if 0 < len(own) <= 2 else allowed(len(k))
             for n in {n for d in deletes(k, MAX_EDITS) for n in self.deleted.get(d, ())}:
                 limit = min(most, allowed(len(n)))
                 if (d := distance(k, n, limit)) <= limit:
