@@ -113,3 +113,8 @@ def text_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def manifest(files: DataFrame) -> DataFrame:
     """path, tier (the folder), checksum and kind of every file."""
     return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tier"), F.sha2("content", 256).alias("checksum"), F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("metadata").alias("kind"))
+
+
+def json_dimension(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """A dimension kept as JSON, read with its schema; lines that aren't JSON of it fail the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
