@@ -12,7 +12,7 @@ from labloom.plans.scalar_queries import Q, sql_label_key
 
 BY_JOB = ["job_id"]
 PANEL_SQL = """(SELECT o.*, coalesce(c.panel_key, l.panel_key, 'unclassified') AS panel FROM observation o LEFT JOIN launch_scope_rules c ON c.candidate_code = o.accepted_analyte_code
-    LEFT JOIN (SELECT canonical_label AS k, min(panel_key) AS panel_key FROM launch_scope_rules GROUP BY 1) l ON l.k = lower(trim(o.raw_analyte_label)))"""
+    LEFT JOIN (SELECT canonical_label AS k, min(panel_key) AS panel_key FROM launch_scope_rules GROUP BY 1) l ON l.k = lower(trim(o.raw_analyte_label, ' ')))"""
 STATE_CASE = "CASE WHEN bool_and(support_state = 'supported') THEN 'supported' WHEN bool_or(support_state = 'supported') THEN 'partial' ELSE 'unsupported' END"
 
 
@@ -82,8 +82,8 @@ def ag08_verdict_counts(t: Tables) -> DataFrame:
 
 @query(
     f"""SELECT source_feed, round(count(*) FILTER (verdict = 'clean') / greatest(count(*), 1), 4) AS pass_rate,
-    round(count(*) FILTER (verdict = 'clean' AND trim(coalesce(raw_unit_string, '')) <> '') / greatest(count(*) FILTER (verdict = 'clean'), 1), 4) AS unit_ratio,
-    round(count(*) FILTER (verdict = 'clean' AND trim(coalesce(raw_reference_range, '')) <> '') / greatest(count(*) FILTER (verdict = 'clean'), 1), 4) AS reference_ratio FROM ({QA_SQL}) GROUP BY source_feed"""
+    round(count(*) FILTER (verdict = 'clean' AND trim(coalesce(raw_unit_string, ''), ' ') <> '') / greatest(count(*) FILTER (verdict = 'clean'), 1), 4) AS unit_ratio,
+    round(count(*) FILTER (verdict = 'clean' AND trim(coalesce(raw_reference_range, ''), ' ') <> '') / greatest(count(*) FILTER (verdict = 'clean'), 1), 4) AS reference_ratio FROM ({QA_SQL}) GROUP BY source_feed"""
 )
 def ag09_ag14_linkage_ratios(t: Tables) -> DataFrame:
     clean = F.col("verdict") == "clean"

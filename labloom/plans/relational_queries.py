@@ -37,7 +37,7 @@ sql_begins = lambda c, words: "coalesce(" + " OR ".join(f"starts_with({c}, {Q(w)
 
 
 # --- filters ------------------------------------------------------------------------------------------------------
-@query(f"SELECT id, {sql_begins('lower(trim(raw_text))', HEADER_PREFIXES)} AS header, {' OR '.join(f'regexp_matches(raw_text, {Q(p)})' for p in CATEGORY_PATTERNS)} AS category FROM extracted_row WHERE raw_text IS NOT NULL")
+@query(f"SELECT id, {sql_begins('lower(trim(raw_text, \' \'))', HEADER_PREFIXES)} AS header, {' OR '.join(f'regexp_matches(raw_text, {Q(p)})' for p in CATEGORY_PATTERNS)} AS category FROM extracted_row WHERE raw_text IS NOT NULL")
 def flt01_flt02_line_kinds(t: Tables) -> DataFrame:
     """Header lines and category lines, which the row parser skips."""
     category = F.lit(False)
@@ -46,14 +46,14 @@ def flt01_flt02_line_kinds(t: Tables) -> DataFrame:
     return t.extracted_row.where("raw_text is not null").select("id", begins(F.lower(F.trim("raw_text")), HEADER_PREFIXES).alias("header"), category.alias("category"))
 
 
-@query("SELECT id, raw_analyte_label FROM extracted_row WHERE length(trim(raw_analyte_label)) >= 2 AND lower(trim(raw_analyte_label)) NOT IN ('an egfr', 'egfr(ckd-epi)') AND extraction_confidence >= 0.2")
+@query("SELECT id, raw_analyte_label FROM extracted_row WHERE length(trim(raw_analyte_label, ' ')) >= 2 AND lower(trim(raw_analyte_label, ' ')) NOT IN ('an egfr', 'egfr(ckd-epi)') AND extraction_confidence >= 0.2")
 def flt03_flt07_kept_rows(t: Tables) -> DataFrame:
     """Rows whose label may be an analyte and whose confidence passes."""
     label = F.trim("raw_analyte_label")
     return t.extracted_row.where((F.length(label) >= 2) & ~F.lower(label).isin("an egfr", "egfr(ckd-epi)") & (F.col("extraction_confidence") >= 0.2)).select("id", "raw_analyte_label")
 
 
-LOW = "lower(trim(coalesce(raw_text, '')))"
+LOW = "lower(trim(coalesce(raw_text, ''), ' '))"
 
 
 @query(
@@ -92,7 +92,7 @@ def flt08_set02_confidence_gate(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT extracted_row_id, document_id, CASE WHEN trim(coalesce(raw_analyte_label, '')) = '' THEN 'missing_label' WHEN source_page IS NULL OR source_page < 1 THEN 'bad_page' WHEN document_id IS NULL THEN 'missing_document' END AS reject, coalesce(language_id, 'en') AS language_id FROM observation"""
+    """SELECT extracted_row_id, document_id, CASE WHEN trim(coalesce(raw_analyte_label, ''), ' ') = '' THEN 'missing_label' WHEN source_page IS NULL OR source_page < 1 THEN 'bad_page' WHEN document_id IS NULL THEN 'missing_document' END AS reject, coalesce(language_id, 'en') AS language_id FROM observation"""
 )
 def flt09_builder_checks(t: Tables) -> DataFrame:
     reject = F.when(F.trim(F.coalesce("raw_analyte_label", F.lit(""))) == "", "missing_label").when(F.col("source_page").isNull() | (F.col("source_page") < 1), "bad_page").when(F.col("document_id").isNull(), "missing_document")
@@ -100,12 +100,12 @@ def flt09_builder_checks(t: Tables) -> DataFrame:
 
 
 QA_SQL = f"""SELECT id, source_feed, raw_unit_string, raw_reference_range, CASE
-      WHEN trim(coalesce(raw_analyte_label, '')) = '' THEN 'missing_analyte_label'
+      WHEN trim(coalesce(raw_analyte_label, ''), ' ') = '' THEN 'missing_analyte_label'
       WHEN {sql_any(sql_collapse("lower(coalesce(raw_text, ''))"), ADMIN_MARKERS)} THEN 'contaminated_row_text'
       WHEN v <> '' AND (regexp_matches(v, {Q(FRAGMENT_PATTERN)}) OR (r <> '' AND contains(r, v))) THEN 'reference_fragment_row'
       WHEN parsed_numeric_value IS NULL AND try_cast(replace(v, ',', '') AS DOUBLE) IS NULL AND lower(v) NOT IN ({', '.join(map(Q, QUALITATIVE))}) THEN 'missing_result_value'
-      WHEN parsed_numeric_value IS NULL AND v <> '' AND lower(trim(v)) = lower(trim(raw_analyte_label)) THEN 'missing_result_value'
-      ELSE 'clean' END AS verdict FROM (SELECT *, trim(coalesce(raw_value_string, '')) AS v, trim(coalesce(raw_reference_range, '')) AS r FROM extracted_row)"""
+      WHEN parsed_numeric_value IS NULL AND v <> '' AND lower(trim(v, ' ')) = lower(trim(raw_analyte_label, ' ')) THEN 'missing_result_value'
+      ELSE 'clean' END AS verdict FROM (SELECT *, trim(coalesce(raw_value_string, ''), ' ') AS v, trim(coalesce(raw_reference_range, ''), ' ') AS r FROM extracted_row)"""
 
 
 def qa_verdicts(rows: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def jn09_last_writer_wins(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT id, unnest(list_distinct([lower(trim(coalesce(accepted_analyte_display, ''))), lower(trim(coalesce(accepted_analyte_code, ''))), lower(trim(coalesce(raw_analyte_label, '')))])) AS key FROM observation),
+    """WITH o AS (SELECT id, unnest(list_distinct([lower(trim(coalesce(accepted_analyte_display, ''), ' ')), lower(trim(coalesce(accepted_analyte_code, ''), ' ')), lower(trim(coalesce(raw_analyte_label, ''), ' '))])) AS key FROM observation),
     a AS (SELECT ordinal, panel_key, lower(unnest(list_append(list_append(aliases, canonical_label), candidate_code))) AS key FROM launch_scope_rules)
     SELECT o.id, arg_min(a.panel_key, a.ordinal) AS panel_key FROM o JOIN a ON a.key = o.key WHERE o.key <> '' GROUP BY o.id"""
 )
@@ -374,7 +374,7 @@ def jn17_ag19_by_checksum(t: Tables) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT candidate_code AS k, panel_key FROM launch_scope_rules), l AS (SELECT canonical_label AS k, min(panel_key) AS panel_key FROM launch_scope_rules GROUP BY 1)
-    SELECT o.id, coalesce(c.panel_key, l.panel_key, 'unclassified') AS panel FROM observation o LEFT JOIN c ON c.k = o.accepted_analyte_code LEFT JOIN l ON l.k = lower(trim(o.raw_analyte_label))"""
+    SELECT o.id, coalesce(c.panel_key, l.panel_key, 'unclassified') AS panel FROM observation o LEFT JOIN c ON c.k = o.accepted_analyte_code LEFT JOIN l ON l.k = lower(trim(o.raw_analyte_label, ' '))"""
 )
 def jn18_panel_membership(t: Tables) -> DataFrame:
     """The panel by code, else by label, else none."""
