@@ -123,12 +123,14 @@ def _round(level: int, last: bool, good_fill: float):
     return run
 
 
-def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL, fan_in: int = FAN_IN) -> DataFrame:
+def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL, fan_in: int = FAN_IN, targets: dict[str, float] | None = None) -> DataFrame:
     """One row for each item or piece: spec_id, container_id, id, piece_no, piece_start, piece_size, filled, capacity, fill.
 
     ``specs`` are (spec_id, capacity), a handful. A null source is the source ''. Null sizes count as 0; items of size 0
     stand in some container too. Repeated rows and repeated ids are items of their own. ``sizes`` is read several times:
-    hand in a table that is cheap to read.
+    hand in a table that is cheap to read. ``targets`` are the token shares of sources to aim at in every container (a source
+    without one has 0); by default those of the whole table. Every item is packed whatever the targets: a source with more
+    than its share fills the last containers.
     """
     if not specs or any(c < 1 for _, c in specs):
         raise ValueError("capacities must be positive")
@@ -142,6 +144,9 @@ def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str =
     by_source = total.groupBy("source").agg(F.sum("got").alias("all_got"))
     every = by_source.agg(F.sum("all_got").alias("all")).first()["all"] or 0
     share = F.col("all_got") / F.lit(max(every, 1))
+    if targets is not None:
+        whole = sum(targets.values()) or 1.0
+        share = F.coalesce(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, v / whole)])[F.col("source")], F.lit(0.0))
     by_shard = total.groupBy("shard").agg(F.sum("got").alias("shard_got"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     by_shard = by_shard.withColumn("packed", F.coalesce(F.sum("shard_got").over(before), F.lit(0))).select("shard", "packed")

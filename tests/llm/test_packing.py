@@ -55,3 +55,11 @@ def test_shares_hold_and_deficits_are_carried():
     assert {sum(x[2] == "b" for x in b) for b in boxes} <= {2, 3}
     owed = pack(items, 100, {"a": 0.75, "b": 0.25}, {"b": 100.0, "a": -100.0})
     assert all(x[2] == "b" for x in owed[0])
+
+
+def test_targets(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(2000)], "doc_id bigint, source string, n_tokens bigint")
+    rows = pack_items(df, [(1, 100)], targets={"a": 3, "b": 1}, shard_items=10**6)
+    first = rows.join(df.select("doc_id", "source"), "doc_id").where("container_id < 100").groupBy("source").count().collect()
+    count = {r.source: r["count"] for r in first}
+    assert count["a"] > 2.5 * count["b"] and rows.count() == 2000
