@@ -138,7 +138,7 @@ def recorded_units(observation: DataFrame, rules: DataFrame, unit_dim: DataFrame
     rows = observation.select(F.col("id").alias("observation_id"), F.col("accepted_analyte_code").alias("candidate_code"), "raw_unit_string", *[one_spaced(ascii_forms(F.col(c))).alias(c) for c in ("raw_value_string", "raw_text", "raw_reference_range")])
     rows = rows.join(listed, "candidate_code")
     # known spellings, longest first, to find the unit in running text
-    words = sorted({re.sub(r"\s+", r"\\s*", re.escape(s).replace("\\ ", " ")) for c in codes for s in spellings(c)}, key=lambda s: (-len(s), s))
+    words = sorted({" ?".join(map(re.escape, re.findall(r"[A-Za-z]+|\d+|[^\sA-Za-z\d]", s))) for c in codes for s in spellings(c)}, key=lambda s: (-len(s), s))
     any_unit = "(?i)" + "(?:" + "|".join(words or ["(?!)"]) + ")"
     micro = lambda c: F.translate(c, "µμ", "uu")
     behind = F.trim(F.regexp_extract("raw_value_string", VALUE, 2))

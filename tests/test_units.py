@@ -41,6 +41,11 @@ def test_places_and_spellings(spark, tables):
     assert got["10"].value is None and got["10"].canonical_value is None
 
 
+def test_spaces_within_units_of_a_line(spark, tables):
+    got = run(spark, tables, ("A", None, "12", "label | 12 L | mg / dL | 3 - 4", "3 - 4"), ("A", None, "12", "label 12 mg/100 mL", None), ("A", None, "12", "label 12 3 - 4 mg/100 mL (x y)", "3 - 4 mg/100 mL (x y)"), ("E", None, "7", "label 7 L U / L", None))
+    assert [got[str(i)].recorded_unit for i in range(4)] == ["mg/dL", "mg/dL", "mg/dL", "U/L"]
+
+
 def test_edges(spark, tables):
     got = run(spark, tables, (None, "mg/dL", "1", None, None), ("Z", "mg/dL", "1", None, None), ("A", None, None, None, None), ("A", "", "", "", ""), ("A", "mg/dL", "1", None, None))
     assert set(got) == {"2", "3", "4"}
