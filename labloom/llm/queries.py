@@ -79,5 +79,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p2_found": p2_found, "p2_misses": p2_misses, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
 
 
+def _p5_sql() -> str:
+    """Each field by what it must not hold, rather than by what becomes of it."""
+    from labloom.llm import plain
+
+    invisible, spaces, compat = plain._tables()
+    look, words = plain._class("".join(plain.LOOKALIKES)), r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}]+"
+    q = plain._quoted
+    # words are told apart once what is invisible is gone and wide letters are narrow
+    wide = [c for c in compat if "！" <= c <= "～"]
+    bare = f"regexp_replace(translate(t, {q(''.join(wide))}, {q(''.join(compat[c] for c in wide))}), {q(plain._class(invisible))}, '', 'g')"
+    alike = f"list_filter(regexp_extract_all({bare}, {q(words)}), lambda w: regexp_matches(w, {q(look)}) AND (regexp_matches(w, '\\p{{Latin}}') OR regexp_full_match(w, {q('(?:' + look + '|' + chr(92) + 'p{M})+')})))"
+    fields = ", ".join(f"'{f}'" for f in PLAIN_FIELDS)
+    return f"""SELECT observation_id, field_name FROM (SELECT id AS observation_id, unnest([{fields}]) AS field_name, unnest([{', '.join(PLAIN_FIELDS)}]) AS t FROM observation)
+    WHERE regexp_matches(t, '[^\\x00-\\x7f]') AND (regexp_matches(t, {q(plain._class(''.join(compat)))}) OR regexp_matches(t, {q(plain._class(invisible))}) OR regexp_matches(t, {q(plain._class(spaces))}) OR nfc_normalize(t) <> t OR len({alike}) > 0)"""
+
+
+P8_SQL = """WITH w AS (SELECT doc_id, i, hash(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM w SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM g GROUP BY doc_id, island"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": _p5_sql(), "p8_found": P8_SQL}
