@@ -70,6 +70,21 @@ def spellings(code: str) -> set[str]:
     return out
 
 
+def text_pattern() -> str:
+    """One pattern for a unit in running text, in lower case, put together from the parts; it may allow more than the spellings."""
+
+    def spaced(s: str) -> str:
+        return " ?".join(map(re.escape, re.findall(r"[A-Za-z]+|\d+|[^\sA-Za-z\d]", s)))
+
+    def one_of(values) -> str:
+        return "(?:" + "|".join(spaced(v) for v in sorted({v for v in values if v}, key=lambda v: (-len(v), v))) + ")"
+
+    prefix, base = one_of(x for v in PREFIXES.values() for x in v), one_of(x for v in BASES.values() for x in v)
+    per, count = one_of(x for v in PER.values() for x in v), one_of(x for v in COUNTS.values() for x in v)
+    whole = one_of([*(x for v in WHOLE.values() for x in v), "m[iu]/l", "u[iu]/ml"])
+    return f"(?:{whole}|{prefix}? ?{base} ?{per}|(?:x ?)?10 ?[*^e ]? ?[0-9]+ ?{per}|{count}? ?{per}|{prefix}m)"
+
+
 def unit_key(c: Column) -> Column:
     """A spelling without what doesn't matter: case, spaces, full stops, the sign for micro."""
     s = F.translate(ascii_forms(c), "µμ×", "uux")
@@ -137,9 +152,7 @@ def recorded_units(observation: DataFrame, rules: DataFrame, unit_dim: DataFrame
     listed = rules.groupBy("candidate_code").agg(F.first("expected_ucum_units", True).alias("expected"), F.first("canonical_unit_ucum", True).alias("to_unit"), F.first("molar_weight", True).alias("molar_weight"))
     rows = observation.select(F.col("id").alias("observation_id"), F.col("accepted_analyte_code").alias("candidate_code"), "raw_unit_string", *[one_spaced(ascii_forms(F.col(c))).alias(c) for c in ("raw_value_string", "raw_text", "raw_reference_range")])
     rows = rows.join(listed, "candidate_code")
-    # known spellings, longest first, to find the unit in running text
-    words = sorted({" ?".join(map(re.escape, re.findall(r"[A-Za-z]+|\d+|[^\sA-Za-z\d]", s))) for c in codes for s in spellings(c)}, key=lambda s: (-len(s), s))
-    any_unit = "(?i)" + "(?:" + "|".join(words or ["(?!)"]) + ")"
+    any_unit = "(?i)" + text_pattern()
     micro = lambda c: F.translate(c, "µμ", "uu")
     behind = F.trim(F.regexp_extract("raw_value_string", VALUE, 2))
     # in the line: what stands behind the number, flags and bars passed over
@@ -147,7 +160,7 @@ def recorded_units(observation: DataFrame, rules: DataFrame, unit_dim: DataFrame
     sought = F.concat(F.lit(" "), F.col("raw_value_string"), F.lit(" "))
     place = F.position(sought, line)
     after = F.when(place > 0, F.substring(line, place + F.length(sought), F.length(line)))
-    text_unit = F.regexp_extract(micro(after), rf"{any_unit.replace('(?i)', '(?i)^(?:[ |*]|[HL](?= ))*(')})(?=$|[ |(,;])", 1)
+    text_unit = F.regexp_extract(micro(after), rf"{any_unit.replace('(?i)', '(?i)^(?:[ |*]|[HL](?= ))*?(')})(?=$|[ |(,;])", 1)
     range_unit = F.regexp_extract(micro(F.col("raw_reference_range")), rf"{any_unit.replace('(?i)', '(?i)[0-9] ?(')})(?=$|[ (,;])", 1)
     printed = F.when(F.trim("raw_unit_string") != "", F.col("raw_unit_string")).when(behind != "", behind)
     rows = rows.withColumn("printed", printed)
