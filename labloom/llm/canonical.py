@@ -32,7 +32,7 @@ NOTES = r"\[see note\]|\[photometric\]|\(eclia\)|\(venous\)"
 #: Words that say nothing of what is measured; an abbreviation of two letters beside one isn't corrected.
 CONTEXT = re.compile(r"\b(?:serum|plasma|blood|level)\b")
 FRONT = r"^(?:[\W_]+|\d+\.\s+|lab:\s*|[sp]-)"
-BACK = r"(?:\s*/\s*fasting|\s+-\s+repeat|\s+2nd\s+sample|\s+conc\.?|\s+result|\s+level:|[\s*:]+|\s[hl*])$"
+BACK = r"(?:\s*/\s*fasting|\s+-\s+repeat|\s+2nd\s+sample|\s+conc\.?|\s+result|\s+level:|\s[hl*])$"
 
 
 def base(text: str) -> str:
@@ -104,9 +104,9 @@ class Names:
         self.notes, self.front, self.back = re.compile(NOTES), re.compile(FRONT), re.compile(BACK)
 
     def stripped(self, label: str) -> str:
-        s = self.notes.sub(" ", base(label)).strip()
+        s = " ".join(self.notes.sub(" ", base(label)).split())
         while True:
-            t = self.back.sub("", self.unit.sub("", self.front.sub("", s))).strip()
+            t = self.back.sub("", self.unit.sub("", self.front.sub("", s))).strip(" ").rstrip(" *:")
             if t == s or not t:
                 return t
             s = t

@@ -115,12 +115,16 @@ def _scan(min_chars: int):
 
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            # (doc, place of the part in its text, part): a long text comes in parts that overlap, so that each stretch is whole in one
+            parts = [(i, s, t if len(t) <= 2 * SLICE_CHARS else t[s : s + SLICE_CHARS + min_chars - 1]) for i, t in enumerate(texts) for s in (range(0, len(t), SLICE_CHARS) if len(t) > 2 * SLICE_CHARS else (0,))]
             start = size = 0
-            for i in range(len(texts)):
-                size += len(texts[i])
-                if size >= SLICE_CHARS or i + 1 == len(texts):
-                    doc, pos, h = winnow(texts[start : i + 1], min_chars)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[start : i + 1][doc]), pa.array(pos.astype(np.int32))], ["h", "doc", "pos"])
+            for i in range(len(parts)):
+                size += len(parts[i][2])
+                if size >= SLICE_CHARS or i + 1 == len(parts):
+                    chosen = parts[start : i + 1]
+                    part, pos, h = winnow([p[2] for p in chosen], min_chars)
+                    doc, offset = np.array([p[0] for p in chosen], np.int64)[part], np.array([p[1] for p in chosen], np.int64)[part]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array((pos + offset).astype(np.int32))], ["h", "doc", "pos"])
                     start, size = i + 1, 0
 
     return run

@@ -22,7 +22,7 @@ def test_mapped(label, code):
     assert NAMES.code(label) == code
 
 
-@pytest.mark.parametrize("label", ["", None, "***", "n/a", "Calprotectin", "Lot 44-B", "Page 2 of 5", "備考", "Comment", "pepsinogen", "level", "x" * 100_000])
+@pytest.mark.parametrize("label", ["", None, "***", "n/a", "Calprotectin", "Lot 44-B", "Page 2 of 5", "備考", "Comment", "pepsinogen", "level", "x" * 100_000, "a" + " " * 100_000 + "b", "a" + "*" * 100_000 + "b", "a" + ": " * 50_000 + "b", "9" * 100_000 + "x", "[" * 50_000])
 def test_unmapped(label):
     assert NAMES.code(label) == UNMAPPED
 

@@ -79,3 +79,12 @@ def test_other_lengths_and_a_hot_passage(spark):
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
     for hot in (4096, 20):
         assert set(map(tuple, shared_spans(df, min_chars=40, hot=hot).collect())) == brute(texts, 40)
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    from labloom.llm import spans
+
+    monkeypatch.setattr(spans, "SLICE_CHARS", 300)
+    texts = corpus(5)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert set(map(tuple, shared_spans(df).collect())) == brute(texts)
