@@ -163,7 +163,7 @@ def src06_text_lines(t: Tables) -> DataFrame:
 def src17_src18_manifest(t: Tables) -> DataFrame:
     """The files of the data folder by tier, with checksums."""
     files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(t.sf_dir)
-    return readers.manifest(files.where("length < 1000000")).groupBy("tier", "kind").agg(F.count("*").alias("files"), F.count_distinct("checksum").alias("contents"))
+    return readers.manifest(files).groupBy("tier", "kind").agg(F.count("*").alias("files"), F.count_distinct("checksum").alias("contents"))
 
 
 # --- sinks --------------------------------------------------------------------------------------------------------

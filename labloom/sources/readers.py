@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # --- fixed values -----------------------------------------------------------------------------------------------
@@ -12,6 +17,8 @@ MIME_BY_EXTENSION = {
 MIME_ALIASES = {"application/x-pdf": "application/pdf", "image/jpg": "image/jpeg", "image/pjpeg": "image/jpeg", "image/x-png": "image/png", "image/x-bmp": "image/bmp", "image/x-tiff": "image/tiff"}
 MAGIC = {"application/pdf": "25504446", "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF"}
 MAX_BYTES = 20 * 1024 * 1024
+#: Files are hashed in blocks of this size.
+BLOCK_BYTES = 1 << 20
 ROW_TYPE = "struct<source_page:int,row_hash:string,raw_text:string,raw_analyte_label:string,raw_value_string:string,raw_unit_string:string,raw_reference_range:string,parsed_numeric_value:double,specimen_context:string,language_id:string>"
 
 
@@ -110,9 +117,35 @@ def text_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "line_no", F.trim("line").alias("line")).where("line <> ''")
 
 
+def _opened(path: str):
+    """A file by the path that binaryFile gives it, as a stream of bytes."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    there, at = fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", path), safe=":/@"))
+    return there.open_input_stream(at)
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (path) -> (path, checksum). Files are read in blocks, so their size doesn't matter."""
+    for batch in batches:
+        sums = []
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as f:
+                while block := f.read(BLOCK_BYTES):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string())], ["path", "checksum"])
+
+
 def manifest(files: DataFrame) -> DataFrame:
-    """path, tier (the folder), checksum and kind of every file."""
-    return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tier"), F.sha2("content", 256).alias("checksum"), F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("metadata").alias("kind"))
+    """path, tier (the folder), checksum and kind of every file, whatever its size; of ``files`` only the path is read."""
+    hashed = files.select("path").mapInArrow(_hash_files, "path string, checksum string")
+    return hashed.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tier"), "checksum", F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("metadata").alias("kind"))
 
 
 def json_dimension(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:

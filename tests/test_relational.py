@@ -1,6 +1,7 @@
 """Relational operators, folds, sources, sinks and streams against plain Python."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labloom.operators import folds, relational as rel
+from labloom.plans import registry
 from labloom.sources import readers, writers
 from labloom.streaming import streams
 
@@ -116,6 +118,18 @@ def test_uploads(spark, tmp_path):
     assert got == {"a.pdf": ("trusted_pdf", None), "b.pdf": (None, "magic_byte_mismatch:pdf"), "c.png": ("image_beta", None), "d.json": ("structured", None), "e.exe": (None, "unsupported_extension:.exe"), "f.json": (None, "file_too_large")}
 
 
+def test_manifest_has_every_file(spark, tmp_path):
+    big = b"x" * 2_500_000
+    contents = {"easy/a.parquet": b"a", "easy/b%20 c.parquet": big, "hard/d.parquet": big, "hard/é.parquet": big + b"y"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {(r.tier, r.files, r.contents) for r in registry.queries()["src17_src18_manifest"](spark, str(tmp_path)).collect()}
+    assert got == {("easy", 2, 2), ("hard", 2, 2)}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    assert {r.path.removeprefix(f"file:{tmp_path}/"): r.checksum for r in readers.manifest(files).collect()} == {k: hashlib.sha256(v).hexdigest() for k, v in contents.items()}
+
+
 def test_structured(spark):
     good = {"source_page": 1, "row_hash": "r", "raw_analyte_label": "x", "raw_value_string": "5", "parsed_numeric_value": 5.5}
     cases = [
