@@ -169,12 +169,25 @@ def src17_src18_manifest(t: Tables) -> DataFrame:
 # --- sinks --------------------------------------------------------------------------------------------------------
 @query("SELECT id, substr(raw_text, 1, 64) AS raw_text, substr(raw_analyte_label, 1, 16) AS raw_analyte_label FROM extracted_row")
 def snk01_clipped_stage(t: Tables) -> DataFrame:
-    """A stage table written with its widths and read again."""
+    """A stage table written with widths of its SQL's own, not the reference's (see snk01_extracted_stage), and read again."""
     path = f"{checkpoint_dir(t.spark)}/stage-{uuid.uuid4().hex}"
     writers.append_stage(t.extracted_row.select("id", "raw_text", "raw_analyte_label"), path, {"raw_text": 64, "raw_analyte_label": 16})
     return t.spark.read.parquet(path)
 
 
+#: Columns of the reference's extracted rows, and the widths of those that are bounded there.
+STAGE_COLUMNS = ["id", "document_id", "job_id", "source_page", "row_hash", "raw_text", "raw_analyte_label", "raw_value_string", "raw_unit_string", "raw_reference_range", "extraction_confidence"]
+STAGE_WIDTHS = {"raw_value_string": 64, "raw_unit_string": 64, "raw_reference_range": 128}
+
+
+@query("SELECT id, document_id, job_id, source_page, row_hash, raw_text, raw_analyte_label, substr(raw_value_string, 1, 64) AS raw_value_string, substr(raw_unit_string, 1, 64) AS raw_unit_string, substr(raw_reference_range, 1, 128) AS raw_reference_range, extraction_confidence FROM extracted_row")
+def snk01_extracted_stage(t: Tables) -> DataFrame:
+    """The reference's stage table of extracted rows, with its columns and widths: text and label are whole."""
+    path = f"{checkpoint_dir(t.spark)}/stage-{uuid.uuid4().hex}"
+    writers.append_stage(t.extracted_row.select(STAGE_COLUMNS), path, STAGE_WIDTHS)
+    return t.spark.read.parquet(path)
+
+
 @query("""SELECT lane_type, '{"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '","dead_letter":' || dead_letter || ',"id":"' || id || '","user_id":' || coalesce('"' || user_id || '"', 'null') || '}' AS document FROM jobs""")
 def snk05_snk09_documents(t: Tables) -> DataFrame:
     """Jobs as JSON documents by lane."""

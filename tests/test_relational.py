@@ -168,6 +168,16 @@ def test_sinks(spark, tmp_path):
     assert doc == {"b": "01ff", "n": None, "t": "2026-01-02T03:04:05.000006"} and list(doc) == sorted(doc)
 
 
+def test_stage_has_the_widths_of_the_reference(spark, tmp_path):
+    texts = ["raw_text", "raw_analyte_label", "raw_value_string", "raw_unit_string", "raw_reference_range"]
+    rest = ["id", "document_id", "job_id", "source_page", "row_hash", "extraction_confidence"]
+    long, none = [F.lit("é" * 200).alias(c) for c in texts], [F.lit(None).cast("string").alias(c) for c in texts]
+    one = spark.range(1).select(*[F.lit(1).alias(c) for c in rest])
+    one.select("*", *long).unionByName(one.select("*", *none)).write.parquet(str(tmp_path / "extracted_row.parquet"))
+    got = registry.queries()["snk01_extracted_stage"](spark, str(tmp_path)).select(*[F.length(c) for c in texts]).collect()
+    assert sorted(map(tuple, got), key=str) == [(200, 200, 64, 64, 128), (None,) * 5]
+
+
 def test_streams(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 1)
     rows = [(i % 50, t0 + dt.timedelta(minutes=i % 50), "k", 1.0, i % 3) for i in range(100)]
