@@ -2,8 +2,9 @@
 
 The spellings a unit can have are made by rule from the codes of unit_dim. Of the spellings found in the data the distinct
 ones go through an inverted index of character trigrams, which gives the few rule spellings that share enough of them;
-those are verified by a weighted edit distance (short symbols must match as they are, a changed first character counts
-double). The outcome, an alias dictionary of one row for each distinct spelling, is joined to all rows, and each row takes
+those are verified by a weighted edit distance (a changed first character counts double). Symbols of under eight characters
+may differ in characters that scanners confuse, or by one edit within mol, gram, unit or katal and nothing else: what stands
+behind the stroke, prefixes and numbers are kept, and a well-formed unit is never taken for another. The outcome, an alias dictionary of one row for each distinct spelling, is joined to all rows, and each row takes
 the nearest code that its analyte can be printed in. The unit comes from the unit field, or else from behind the number in
 the value, from behind the number in the printed line, or from the reference range.
 """
@@ -85,6 +86,14 @@ def text_pattern() -> str:
     return f"(?:{whole}|{prefix}? ?{base} ?{per}|(?:x ?)?10 ?[*^e ]? ?[0-9]+ ?{per}|{count}? ?{per}|{prefix}m)"
 
 
+#: Keys and spellings of fewer characters are short symbols.
+SHORT = 8
+#: Characters that scanners confuse.
+CONFUSED = "1|!i0", "llllo"
+#: Spellings that may have one edit before the stroke although they are short.
+NAMED = r"^(?:k|m|u|n|p|mc)?(?:mole?|grams?|units?|katals?)/"
+
+
 def unit_key(c: Column) -> Column:
     """A spelling without what doesn't matter: case, spaces, full stops, the sign for micro."""
     s = F.translate(ascii_forms(c), "µμ×", "uux")
@@ -101,19 +110,27 @@ def alias_dictionary(spark: SparkSession, found: DataFrame, codes: list[str]) ->
     Keys that fit no code give no row. Exact spellings have distance 0 and are taken alone.
     """
     known = sorted({(_key(s), c) for c in codes for s in spellings(c)})
-    index = spark.createDataFrame([(s, sorted({f"^{s}$"[i : i + 3] for i in range(len(s) + 2 - 2)} or {f"^{s}$"})) for s in sorted({s for s, _ in known})], "spelling string, grams array<string>")
-    index = index.withColumn("n", F.size("grams")).select("spelling", "n", F.explode("grams").alias("gram"))
+    looks = lambda s: ["=" + s.translate(str.maketrans(*CONFUSED))] if "/" in s else []
+    index = spark.createDataFrame([(s, g := sorted({f"^{s}$"[i : i + 3] for i in range(len(s) + 2 - 2)} or {f"^{s}$"}), len(g), looks(s)) for s in sorted({s for s, _ in known})], "spelling string, grams array<string>, n int, looks array<string>")
+    index = index.select("spelling", "n", F.explode(F.concat("grams", "looks")).alias("gram"))
     by_spelling = spark.createDataFrame(known, "spelling string, code string")
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
-    pairs = found.where("key <> ''").select("key", F.size(grams).alias("k"), F.explode(grams).alias("gram")).join(index, "gram")
-    pairs = pairs.groupBy("key", "spelling").agg(F.count("*").alias("both"), F.first("k").alias("k"), F.first("n").alias("n"))
-    pairs = pairs.where(2 * F.col("both") * 2 >= F.col("k") + F.col("n"))  # Dice of a half or more
-    same_start = F.substring("key", 1, 1) == F.substring("spelling", 1, 1)
-    pairs = pairs.withColumn("distance", F.levenshtein("key", "spelling") + F.when(same_start, 0).otherwise(1))
+    alike = F.array(F.concat(F.lit("="), F.translate("key", *CONFUSED)))
+    pairs = found.where("key <> ''").select("key", F.size(grams).alias("k"), F.explode(F.concat(grams, alike)).alias("gram")).join(index, "gram")
+    whole = F.col("gram").startswith("=") & (F.length("gram") > 3)
+    pairs = pairs.groupBy("key", "spelling").agg(F.count_if(~whole).alias("both"), F.max(whole).alias("looks"), F.first("k").alias("k"), F.first("n").alias("n"))
+    pairs = pairs.where(F.col("looks") | (2 * F.col("both") * 2 >= F.col("k") + F.col("n")))  # Dice of a half or more
+    same = lambda n: F.substring("key", 1, n) == F.substring("spelling", 1, n)
+    pairs = pairs.withColumn("distance", F.levenshtein("key", "spelling") + F.when(same(1), 0).otherwise(1))
     shorter = F.least(F.length("key"), F.length("spelling"))
-    bound = F.when(shorter < 8, 0).when(shorter < 12, 1).otherwise(2)
-    near = pairs.where((F.col("key") == F.col("spelling")) | (F.col("distance") <= bound)).withColumn("distance", F.when(F.col("key") == F.col("spelling"), 0).otherwise(F.col("distance")))
+    before = lambda c: F.substring_index(c, "/", 1)
+    behind = lambda c: F.translate(F.regexp_extract(c, "/(.*)$", 1), *CONFUSED)
+    one_edit = F.col("spelling").rlike(NAMED) & (F.length(before("spelling")) > 3) & before("key").rlike("^[a-z]+$") & same(2) & (behind("key") == behind("spelling")) & (F.levenshtein(before("key"), before("spelling")) == 1)
+    misread = (shorter < SHORT) & same(1) & (F.col("looks") | one_edit) & ~F.col("key").rlike(f"^{text_pattern()}$")
+    bound = F.when(shorter < SHORT, 0).when(shorter < 12, 1).otherwise(2)
+    exact = F.col("key") == F.col("spelling")
+    near = pairs.where(exact | misread | (F.col("distance") <= bound)).withColumn("distance", F.when(exact, 0).when(misread, 1).otherwise(F.col("distance")))
     hit = near.join(by_spelling, "spelling").groupBy("key", "code").agg(F.min("distance").cast("int").alias("distance"))
     return hit.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("distance", "code"))).alias("codes"))
 
@@ -169,7 +186,8 @@ def recorded_units(observation: DataFrame, rules: DataFrame, unit_dim: DataFrame
     aliases = alias_dictionary(spark, rows.where("key is not null").select("key").distinct(), codes)
     rows = rows.join(aliases, "key", "left")
     fits = F.filter("codes", lambda x: F.array_contains(F.col("expected"), x["code"]))
-    rows = rows.withColumn("recorded_unit", F.when(F.size(fits) > 0, fits[0]["code"]))
+    unsure = (F.length("key") < SHORT) & (F.size(fits) > 1) & (F.get(fits, F.lit(0))["distance"] > 0)
+    rows = rows.withColumn("recorded_unit", F.when((F.size(fits) > 0) & ~unsure, fits[0]["code"]))
     value = convert(F.col("value"), of(1)[F.col("recorded_unit")], of(2)[F.col("recorded_unit")], of(1)[F.col("to_unit")], of(2)[F.col("to_unit")], F.col("molar_weight"))
     return rows.select("observation_id", "value", "recorded_unit", F.col("to_unit").alias("canonical_unit"), value.alias("canonical_value"))
 

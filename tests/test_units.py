@@ -61,3 +61,10 @@ def test_dictionary_is_strict_on_short_symbols(spark):
     d = {r.key: [c.code for c in r.codes] for r in alias_dictionary(spark, spark.createDataFrame([("ug/l",), ("mgl",), ("mg/l",), ("nanogramms/l",), ("x" * 5000,)], "key string"), ["ug/L", "mg/L", "ng/L"]).collect()}
     assert d["ug/l"][0] == "ug/L" and d["mg/l"][0] == "mg/L"
     assert d["nanogramms/l"][0] == "ng/L" and "x" * 5000 not in d
+
+
+def test_misread_short_symbols(spark, tables):
+    misread = [("A", "mg/d1", "mg/dL"), ("A", "umo/L", "umol/L"), ("A", "umol/I", "umol/L"), ("E", "U/1", "U/L"), ("A", "umoll/L", "umol/L")]
+    others = [("A", k) for k in ("mg/d", "ug/dL", "umol/g", "umol/d", "mumol/L", "mol/L", "ng/mL", "mg/kg", "mgl")] + [("E", "AU/L"), ("E", "U/g"), ("E", "1/L"), ("W", "10^8/L")]
+    got = run(spark, tables, *[(a, u, "5", None, None) for a, u, _ in misread], *[(a, u, "5", None, None) for a, u in others])
+    assert [got[str(i)].recorded_unit for i in range(len(got))] == [w for _, _, w in misread] + [None] * len(others)
