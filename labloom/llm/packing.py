@@ -2,13 +2,14 @@
 
 Items are spread over shards by a hash of their id; a shard is packed in one task. Every source has a queue, sorted by
 size, and a deficit: the tokens it is due by its target share of what has been packed, less what it has got. A container
-takes from the source with the greatest deficit the largest item that still fits; when little room is left, the largest
-item of any source that fits (of equal ones, that of the greatest deficit). When nothing fits the container is closed and
+takes from the source with the greatest deficit the largest item that still fits; once half of it or less is free, the
+largest item of any source that fits (of equal ones, that of the greatest deficit). When nothing fits the container is closed and
 the deficits go on to the next. Across shards they go on too: a shard starts with the deficits all shards before it leave
 behind, which prefix sums over (shard, source) totals give without packing anything.
 
 Containers that a shard leaves with room to spare (its last ones, mostly) are opened again: their items go to a second
-round over groups of shards, and from there to a third, each packed the same way.
+round over groups of shards, and from there to a third, each packed the same way. A round starts with the deficits that the
+containers closed before it leave behind, and carries them across its shards by prefix sums too.
 
 An item that exceeds the capacity is cut into pieces of the full capacity and a rest; no other item is split.
 """
@@ -123,6 +124,21 @@ def _round(level: int, last: bool, good_fill: float):
     return run
 
 
+def _carried(left: DataFrame, closed: DataFrame) -> DataFrame:
+    """``left``, the items of the next round, with what their source is due when their shard begins: its share of what stands in
+    ``closed`` containers and in the shards before, less what it has got there."""
+    got = left.groupBy("spec_id", "shard", "source").agg(F.sum("n").alias("got"))
+    before = Window.partitionBy("spec_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    by_shard = got.groupBy("spec_id", "shard").agg(F.sum("got").alias("shard_got")).select("spec_id", "shard", F.sum("shard_got").over(before).alias("packed"))
+    got = got.select("spec_id", "shard", "source", F.sum("got").over(Window.partitionBy("spec_id", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)).alias("got_before"))
+    by_source = closed.groupBy("spec_id", "source").agg(F.sum("n").alias("closed_got"))
+    by_spec = by_source.groupBy("spec_id").agg(F.sum("closed_got").alias("closed"))
+    dues = got.join(by_shard, ["spec_id", "shard"]).join(by_spec, "spec_id", "left").join(by_source, ["spec_id", "source"], "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    dues = dues.select("spec_id", "shard", "source", (of("closed") + of("packed")).alias("all_before"), (of("closed_got") + of("got_before")).alias("own_before"))
+    return left.join(dues, ["spec_id", "shard", "source"], "left").withColumn("due", F.col("share") * of("all_before") - of("own_before")).drop("all_before", "own_before")
+
+
 def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL, fan_in: int = FAN_IN, targets: dict[str, float] | None = None) -> DataFrame:
     """One row for each item or piece: spec_id, container_id, id, piece_no, piece_start, piece_size, filled, capacity, fill.
 
@@ -169,7 +185,8 @@ def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str =
         closed = packed.where("container >= 0")
         done = closed if done is None else done.unionByName(closed)
         shards, level = -(-shards // fan_in), level + 1
-        items = packed.where("container < 0").drop("container", "filled").withColumn("shard", F.floor(F.col("shard") / fan_in).cast("long")).withColumn("due", F.lit(0.0))
+        left = packed.where("container < 0").drop("container", "filled").withColumn("shard", F.floor(F.col("shard") / fan_in).cast("long"))
+        items = _carried(left, done)
     return done.select("spec_id", F.col("container").alias("container_id"), F.col("id").alias(id_col), F.col("piece").alias("piece_no"), F.col("offset").alias("piece_start"), F.col("n").alias("piece_size"), "filled", "capacity", (F.col("filled") / F.col("capacity")).alias("fill"))
 
 

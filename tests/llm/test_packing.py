@@ -63,3 +63,17 @@ def test_targets(spark):
     first = rows.join(df.select("doc_id", "source"), "doc_id").where("container_id < 100").groupBy("source").count().collect()
     count = {r.source: r["count"] for r in first}
     assert count["a"] > 2.5 * count["b"] and rows.count() == 2000
+
+
+def test_deficits_are_carried_across_rounds(spark):
+    # of pages of 50 and 45 only two of 50 fill a container, so that b is owed all of round one
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 50 if i % 2 else 45) for i in range(800)], "doc_id bigint, source string, n_tokens bigint")
+    rows = pack_items(df, [(1, 100)], shard_items=100).join(df.select("doc_id", "source"), "doc_id").collect()
+    boxes = {}
+    for r in rows:
+        boxes.setdefault(r.container_id, []).append(r.source)
+    later = [boxes[c] for c in sorted(boxes) if c >= 1 << 56]
+    first = [s for c in boxes if c < 1 << 56 for s in boxes[c]]
+    owed = len(first) * 50 * 45 / 95  # b's share of what round one closed
+    assert set(first) == {"a"} and any("a" in b for b in later) and len(rows) == 800
+    assert all(set(b) == {"b"} for b in later[: int(owed / 95)])
