@@ -196,7 +196,9 @@ def map_labels(rows: DataFrame, names: DataFrame, units: list[str], *, id_col: s
 def map_observations(observation: DataFrame, rules: DataFrame, unit_dim: DataFrame) -> DataFrame:
     """(observation_id, candidate_code) of observations without an accepted code."""
     names = rules.select("candidate_code", F.explode(F.concat(F.array("canonical_label", "candidate_display"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    units = [r["ucum_code"] for r in unit_dim.where("ucum_code is not null").select("ucum_code").distinct().limit(10_000).collect()]
+    from labloom.session import listed_units
+
+    units = [r["ucum_code"] for r in listed_units(unit_dim, "ucum_code")]
     counts = observation.groupBy(F.col("accepted_analyte_code").alias("candidate_code")).agg(F.count("*").alias("n"))
     rows = observation.where("accepted_analyte_code is null")
     return map_labels(rows, names, units, frequencies=counts).withColumnRenamed("id", "observation_id")

@@ -162,8 +162,10 @@ def recorded_units(observation: DataFrame, rules: DataFrame, unit_dim: DataFrame
     canonical_value where either is null or no conversion exists. Repeated rows give repeated rows. An empty rule list
     gives no row. Only the distinct spellings are shuffled.
     """
+    from labloom.session import listed_units
+
     spark = observation.sparkSession
-    dim = [(r["ucum_code"], r["kind"], float(r["factor_to_base"])) for r in unit_dim.where("ucum_code is not null and factor_to_base is not null").select("ucum_code", "kind", "factor_to_base").distinct().limit(10_000).collect()]
+    dim = [(r["ucum_code"], r["kind"], float(r["factor_to_base"])) for r in listed_units(unit_dim, "ucum_code", "kind", "factor_to_base")]
     codes = sorted({c for c, _, _ in dim})
     of = lambda i: F.create_map(*[F.lit(x) for d in dim for x in (d[0], d[i])]) if dim else F.create_map().cast("map<string,string>" if i == 1 else "map<string,double>")
     listed = rules.groupBy("candidate_code").agg(F.first("expected_ucum_units", True).alias("expected"), F.first("canonical_unit_ucum", True).alias("to_unit"), F.first("molar_weight", True).alias("molar_weight"))

@@ -29,3 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: a lost executor costs nothing, lineage ends here."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Most units of the reference list.
+MAX_UNITS = 10_000
+
+
+def listed_units(unit_dim: DataFrame, *columns: str) -> list:
+    """The distinct values of columns of unit_dim, in rows whose code and factor (where asked for) aren't null; a list beyond its bound raises."""
+    rows = unit_dim.where(" and ".join(f"{c} is not null" for c in columns if c != "kind")).select(*columns).distinct().limit(MAX_UNITS + 1).collect()
+    if len(rows) > MAX_UNITS:
+        raise ValueError(f"unit_dim is a list of at most {MAX_UNITS} units")
+    return rows

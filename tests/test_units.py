@@ -2,6 +2,8 @@
 
 import pytest
 
+from labloom.llm.canonical import map_observations
+from labloom.llm.truncation import cut_fields
 from labloom.operators.units import alias_dictionary, other_units, recorded_units
 
 RULES = [("A", ["umol/L", "mg/dL", "mg/L"], "umol/L", 100.0), ("E", ["U/L", "kU/L"], "U/L", None), ("H", ["m[IU]/L", "[IU]/L"], "m[IU]/L", None), ("W", ["10*9/L", "/uL"], "10*9/L", None)]
@@ -68,3 +70,15 @@ def test_misread_short_symbols(spark, tables):
     others = [("A", k) for k in ("mg/d", "ug/dL", "umol/g", "umol/d", "mumol/L", "mol/L", "ng/mL", "mg/kg", "mgl")] + [("E", "AU/L"), ("E", "U/g"), ("E", "1/L"), ("W", "10^8/L")]
     got = run(spark, tables, *[(a, u, "5", None, None) for a, u, _ in misread], *[(a, u, "5", None, None) for a, u in others])
     assert [got[str(i)].recorded_unit for i in range(len(got))] == [w for _, _, w in misread] + [None] * len(others)
+
+
+def test_too_many_units_raise(spark, tables):
+    many = spark.range(10_001).selectExpr("concat('u', id) as ucum_code", "'mass' as kind", "1.0D as factor_to_base")
+    rows = spark.createDataFrame([], SCHEMA)
+    with pytest.raises(ValueError):
+        recorded_units(rows, tables[0], many)
+    with pytest.raises(ValueError):
+        cut_fields(rows.selectExpr("id", "'f' as source_feed", "raw_text", "raw_value_string", "raw_unit_string", "raw_reference_range"), many)
+    rules = tables[0].selectExpr("candidate_code", "candidate_code as canonical_label", "candidate_code as candidate_display", "array('x') as aliases")
+    with pytest.raises(ValueError):
+        map_observations(rows, rules, many)
