@@ -66,7 +66,7 @@ def seq05_overlap_clusters(t: Tables) -> DataFrame:
 
 @query()
 def seq06_seq07_label_value_groups(t: Tables) -> DataFrame:
-    """Lines of a page grouped into rows of labels and the value that follows."""
+    """Lines of a page grouped into rows of labels and the value that follows: SEQ06 (V3); the V2 grouping of SEQ07 is absent."""
     lines = readers.text_lines(t.documents, "doc_id", "text")
     low = F.lower("line")
     kind = F.when(begins(low, HEADER_PREFIXES), "excluded").when(low.rlike(r"^[\(\[]?(ref|range)\b"), "continuation").when(low.rlike("[0-9]"), "value").otherwise("label")
