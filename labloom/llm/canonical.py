@@ -165,7 +165,7 @@ def _map_batches(names: list[tuple[str, str, int]], units: list[str]):
         con, known, seen = connect(), Names(names, units), {}
         for batch in batches:
             codes = []
-            for label in to_plain(con, batch.column(1), query).to_pylist():
+            for label in to_plain(con, [batch.column(1)], query)[0].to_pylist():
                 if label not in seen:
                     if len(seen) > 200_000:  # forgets, to stay small; codes don't depend on it
                         seen.clear()

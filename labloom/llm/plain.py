@@ -85,20 +85,31 @@ def plain_query() -> str:
     return query
 
 
-def to_plain(con, values: pa.Array, query: str) -> pa.Array:
-    """The plain form of every string, by plain_query(), which is built once on the driver."""
-    con.register("given", pa.table({"i": pa.array(range(len(values)), pa.int64()), "s": values}))
+def to_plain(con, columns: list[pa.Array], query: str) -> list[pa.Array]:
+    """The plain form of every string of the columns, by plain_query(), which is built once on the driver.
+
+    One query serves all columns, and each different string beyond ASCII goes through it once; ASCII is plain as it is.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    odd = [pc.fill_null(pc.invert(pc.string_is_ascii(c)), False) for c in columns]
+    parts = [c.filter(m).cast(pa.large_string()) for c, m in zip(columns, odd, strict=True)]
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    if not len(coded):
+        return columns
+    given = coded.dictionary
+    con.register("given", pa.table({"i": pa.array(range(len(given)), pa.int64()), "s": given}))
     found = con.sql(query).to_arrow_table()
     con.unregister("given")
-    if not found.num_rows:
-        return values
-    import numpy as np
-
-    at = found.column("i").to_numpy()
-    place = np.arange(len(values))
-    place[at] = len(values) + np.arange(len(at))
-    both = pa.chunked_array([values, *found.column("s").cast(values.type).chunks]).combine_chunks()
-    return both.take(pa.array(place))
+    place = np.arange(len(given))
+    place[found.column("i").to_numpy()] = len(given) + np.arange(found.num_rows)
+    known = pa.concat_arrays([given, *found.column("s").cast(pa.large_string()).chunks]).take(pa.array(place)).take(coded.indices)
+    out, at = [], 0
+    for c, m, part in zip(columns, odd, parts, strict=True):
+        out.append(pc.replace_with_mask(c, m, known.slice(at, len(part)).cast(c.type)) if len(part) else c)
+        at += len(part)
+    return out
 
 
 def connect():
@@ -108,6 +119,7 @@ def connect():
     con = duckdb.connect(":memory:")
     con.execute("SET threads = 1")
     con.execute("SET memory_limit = '256MB'")
+    con.execute("SET temp_directory = ''")  # nothing is ever spilled beside the executor
     con.execute("SET preserve_insertion_order = false")
     return con
 
@@ -122,7 +134,7 @@ def _plain_batches(fields: int):
         con = connect()
         for batch in batches:
             names = batch.schema.names
-            plain = [to_plain(con, batch.column(i + 1), query) for i in range(fields)]
+            plain = to_plain(con, batch.columns[1:], query)
             changed = [pc.fill_null(pc.not_equal(plain[i], batch.column(i + 1)), False).to_pylist() for i in range(fields)]
             listed = pa.array([[names[i + 1] for i in range(fields) if row[i]] for row in zip(*changed, strict=True)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *plain, listed], [*names, "_changed"])

@@ -13,7 +13,7 @@ CON = connect()
 
 
 def plain(*texts):
-    return to_plain(CON, pa.array(texts, pa.string()), QUERY).to_pylist()
+    return to_plain(CON, [pa.array(texts, pa.string())], QUERY)[0].to_pylist()
 
 
 @pytest.mark.parametrize(
