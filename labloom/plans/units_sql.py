@@ -1,13 +1,65 @@
-"""Problem 4 as SQL for DuckDB: exact spellings only, found with one pattern over the printed texts."""
+"""Problem 4 as SQL for DuckDB: every written form listed by rule and matched exactly, where the operator maps spellings by likeness."""
 
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from labloom.functions import text as tx
-from labloom.operators.units import spellings
 from labloom.plans.scalar_queries import Q
 
+#: How parts of unit codes are written.
+PREFIXES = {"": [""], "k": ["k", "kilo"], "m": ["m", "milli", "milli-"], "u": ["u", "mc", "micro"], "n": ["n", "nano"], "p": ["p", "pico"]}
+BASES = {
+    "g": ["g", "gm", "gms", "gs", "gram", "grams"],
+    "mol": ["mol", "mole", "moles"],
+    "U": ["u", "iu", "unit", "units", "enzyme units"],
+    "kat": ["kat", "katal", "katals"],
+    "[IU]": ["[iu]", "iu", "u", "unit", "units", "int. units", "international units"],
+}
+PER = {
+    "L": ["/l", " per l", " per litre", " per liter", " l-1", "/litre", "/liter"],
+    "dL": ["/dl", " per dl", " per decilitre", " per deciliter", " dl-1", "/100ml", "%"],
+    "mL": ["/ml", " per ml", " per millilitre", " per milliliter", " ml-1", "/cc"],
+    "uL": ["/ul", " per ul", " per microlitre", " per microliter", "/mm3", "/cmm", " per cubic millimetre", " per cubic millimeter"],
+}
+COUNTS = {
+    "10*3": ["k", "thou", "thousand cells", "thousand", "thousands"],
+    "10*6": ["m", "mill", "mio", "million cells", "million", "millions"],
+    "10*9": ["giga", "g", "gpt", "billion cells", "billion"],
+    "10*12": ["tera", "t", "tpt", "trillion cells"],
+    "": ["", "cells", "cell"],
+}
+WHOLE = {
+    "%": ["%", "pct", "percent", "per cent"],
+    "L/L": ["l/l", "l per l", "litre per litre", "litre/litre", "liter per liter", "liter/liter"],
+    "mm[Hg]": ["mm[hg]", "mmhg", "mm hg", "torr", "millimetres of mercury", "millimeters of mercury"],
+    "kPa": ["kpa", "kilopascal", "kilopascals"],
+    "s": ["s", "sec", "secs", "second", "seconds"],
+    "ms": ["ms", "msec", "msecs", "millisecond", "milliseconds"],
+    "min": ["min", "mins", "minute", "minutes"],
+    "10*9/L": ["g/l cells", "giga/l"],
+    "10*12/L": ["tera/l"],
+}
+
+
+def spellings(code: str) -> set[str]:
+    """The spellings of a unit code, by rule, in lower case."""
+    out = {code.lower(), *WHOLE.get(code, [])}
+    if m := re.fullmatch(r"(k|m|u|n|p|)(g|mol|U|kat|\[IU\])/(L|dL|mL)", code):
+        for p, b, d in product(PREFIXES[m[1]], BASES[m[2]], PER[m[3]]):
+            if d != "%" or m[2] == "g":
+                out.add(p + b + d)
+        if m[2] == "mol" and m[3] == "L":
+            out |= {p + "m" for p in PREFIXES[m[1]][:2]}
+    if m := re.fullmatch(r"(10\*\d+|)/(L|uL)", code):
+        heads = list(COUNTS.get(m[1], []))
+        if m[1]:
+            n = m[1][3:]
+            heads += [x + y + n for x in ("", "x", "x ") for y in ("10*", "10^", "10e", "10 ")]
+        out |= {h + d for h, d in product(heads, PER[m[2]])}
+    return out
+
 #: The codes of unit_dim; the table itself gives kinds and factors.
 CODES = [
     "g/L", "g/dL", "mg/dL", "mg/L", "ug/dL", "ug/L", "ng/mL", "ng/dL", "ng/L", "pg/mL", "ug/mL", "mg/mL", "mmol/L", "umol/L", "nmol/L", "pmol/L", "U/L", "kU/L", "U/mL", "ukat/L", "nkat/L",

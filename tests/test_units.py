@@ -2,9 +2,8 @@
 
 import pytest
 
-from labloom.llm.canonical import map_observations
-from labloom.llm.truncation import cut_fields
-from labloom.operators.units import alias_dictionary, other_units, recorded_units
+from labloom.operators import units
+from labloom.operators.units import alias_dictionary, another, other_units, recorded_units, unit_distance
 
 RULES = [("A", ["umol/L", "mg/dL", "mg/L"], "umol/L", 100.0), ("E", ["U/L", "kU/L"], "U/L", None), ("H", ["m[IU]/L", "[IU]/L"], "m[IU]/L", None), ("W", ["10*9/L", "/uL"], "10*9/L", None)]
 DIM = [("umol/L", "molar", 1e-6), ("mg/dL", "mass", 0.01), ("mg/L", "mass", 0.001), ("U/L", "act", 1.0), ("kU/L", "act", 1000.0), ("m[IU]/L", "arb", 0.001), ("[IU]/L", "arb", 1.0), ("10*9/L", "count", 1e9), ("/uL", "count", 1e6)]
@@ -77,8 +76,33 @@ def test_too_many_units_raise(spark, tables):
     rows = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         recorded_units(rows, tables[0], many)
-    with pytest.raises(ValueError):
-        cut_fields(rows.selectExpr("id", "'f' as source_feed", "raw_text", "raw_value_string", "raw_unit_string", "raw_reference_range"), many)
-    rules = tables[0].selectExpr("candidate_code", "candidate_code as canonical_label", "candidate_code as candidate_display", "array('x') as aliases")
-    with pytest.raises(ValueError):
-        map_observations(rows, rules, many)
+
+
+
+MISTYPED = [("A", "mq/dl", "mg/dL"), ("A", "mgd/l", "mg/dL"), ("A", "umo/l", "umol/L"), ("A", "umoi/l", "umol/L"), ("A", "umo1/l", "umol/L"), ("A", "umoll", "umol/L"), ("E", "u/ll", "U/L"), ("E", "iu/ll", "U/L"), ("A", "mgs per deciliters", "mg/dL"), ("A", "micro-moles per liter", "umol/L"), ("E", "enzyrne units/litre", "U/L")]
+
+
+def test_mistyped_units_are_mapped_by_likeness(spark, tables):
+    got = run(spark, tables, *[(a, u, "5", None, None) for a, u, _ in MISTYPED])
+    assert [got[str(i)].recorded_unit for i in range(len(got))] == [w for _, _, w in MISTYPED]
+
+
+def test_likeness_decides(spark, tables, monkeypatch):
+    """Without the n-gram index and its distance the mistyped units are lost, and the plurals with them."""
+    monkeypatch.setattr(units, "allowed", lambda length: -1.0)
+    got = run(spark, tables, *[(a, u, "5", None, None) for a, u, _ in MISTYPED], ("A", "milligrams per litre", "5", None, None), ("A", "milligram per litre", "5", None, None))
+    assert [got[str(i)].recorded_unit for i in range(len(got))] == [None] * (len(MISTYPED) + 1) + ["mg/L"]
+
+
+def test_distance_is_weighted():
+    assert unit_distance("mg/dl", "mg/dl") == 0 and unit_distance("mgs/dl", "mg/dl") == 0.25 == unit_distance("mq/dl", "mg/dl") and unit_distance("mgd/l", "mg/dl") == 0.5
+    assert unit_distance("milligram/litre", "microgram/litre") > 2 and unit_distance("picogram/litre", "microgram/litre") > 2 and unit_distance("10^8/l", "10^9/l") > 2
+    assert unit_distance("", "mg") > 2 and unit_distance("mg", "") > 2
+    assert not another("grams/l", "gram/l") and another("ug/dl", "mg/dl") and not another("mgd/l", "mg/dl")
+
+
+def test_a_long_dictionary_is_not_broadcast(spark, tables, monkeypatch):
+    rows = [("A", u, "5", None, None) for _, u, _ in MISTYPED] * 3 + [("A", None, "5", None, None)] * 5
+    want = run(spark, tables, *rows)
+    monkeypatch.setattr(units, "MOST_BROADCAST", 0)
+    assert run(spark, tables, *rows) == want
