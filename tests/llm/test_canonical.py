@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from labloom.llm.canonical import UNMAPPED, Names, base, distance, key, map_labels
+from labloom.llm.canonical import UNMAPPED, Names, base, distance, key, map_labels, map_observations
+from labloom.llm.truncation import cut_fields
 
 LIST = [("ferritin", "F", 9), ("serum ferritin", "F", 9), ("transferrin", "T", 5), ("transferrin saturation", "S", 1), ("urea", "U", 3), ("urate level", "V", 2), ("kupfer im Serum", "C", 1), ("铁蛋白", "F", 9), ("complement c3", "3", 1), ("alpha amylase", "A", 1), ("inorganic phosphate", "P", 1), ("magnesium", "M", 1)]
 NAMES = Names(LIST, ["umol/L", "u[IU]/mL", "mg/L", "%"])
@@ -75,3 +76,13 @@ def test_frame(spark):
     assert got == [("1", "F"), ("1", "F"), ("2", UNMAPPED), ("3", "F"), ("4", UNMAPPED)]
     assert {r.candidate_code for r in map_labels(df, names.limit(0), []).collect()} == {UNMAPPED}
     assert map_labels(df.limit(0), names, []).count() == 0
+
+
+def test_too_many_units_raise(spark):
+    many = spark.range(10_001).selectExpr("concat('u', id) as ucum_code", "'mass' as kind", "1.0D as factor_to_base")
+    rows = spark.createDataFrame([], "id string, accepted_analyte_code string, raw_analyte_label string, source_feed string, raw_text string, raw_value_string string, raw_unit_string string, raw_reference_range string")
+    with pytest.raises(ValueError):
+        cut_fields(rows, many)
+    rules = spark.createDataFrame([("A", "x", "x", ["x"])], "candidate_code string, canonical_label string, candidate_display string, aliases array<string>")
+    with pytest.raises(ValueError):
+        map_observations(rows, rules, many)
