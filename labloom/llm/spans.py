@@ -5,16 +5,17 @@ characters (for MIN = 200), each level only over what repeated at the level belo
 
 1. Of all windows of 50 characters those are taken that have the least hash in some stretch of 200 (winnowing): whatever
    200 characters two records share, both take the same window of 50 inside it, at the same place. About one window in 76
-   is taken. Counted over the whole corpus, those that stand in one record alone fall out.
-2. Of the rest the text around is fetched, up to 200 characters from either end of any stretch they can stand for, and
-   brought together by the window. Those fall out whose extension to 100 characters, to the left and to the right, stands
-   in one record alone.
-3. The stretches of 200 around what survived are compared at every offset, and stretches whose surroundings are the same
-   as a whole are settled at once without that. Stretches that overlap or touch become one span.
-
-Nothing is paired: each level groups windows by hash and asks for a least and a greatest record id. A window so frequent
-that its group would not fit a task (more than HOT rows) takes an equal way with one row for each stretch of 200,
-aggregated before the shuffle. Hashes have 64 bits.
+   is taken. The texts are read once for that; with each window go the hashes of its extensions to 100 characters, to the
+   left and to the right. Counted over the whole corpus, windows that stand in one record alone fall out.
+2. Of the rest those fall out whose extensions to 100 characters stand in one record alone. No text is needed for that.
+3. Of the records that still have a window the texts are fetched (a bitmap of fixed size over their ids keeps the others
+   from being shuffled), and the stretches of 200 around what survived are compared at every offset; stretches whose
+   surroundings are the same as a whole are settled at once without that. Stretches that overlap or touch become one span.
+
+What is shared at 200 characters is settled there: a level beyond could change no span, as spans are made of stretches of
+MIN characters. Nothing is paired: each level groups windows by hash and asks for a least and a greatest record id. A
+window so frequent that its group would not fit a task (more than HOT rows) takes an equal way with one row for each
+stretch of 200, aggregated before the shuffle. Hashes have 64 bits (those of level two 32, as it only sifts).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 MIN_CHARS = 200
 HOT = 4096
 SLICE_CHARS = 1_000_000
+#: The bitmap over ids of records to fetch: so many words of 64 bits, whatever the data.
+BITMAP_WORDS = 1 << 18
 _CHUNK_ROWS = 2048
 
 
@@ -86,17 +89,18 @@ def _sliding(x, width: int, least: bool):
 
 
 def winnow(texts, min_chars: int = MIN_CHARS):
-    """Windows of min_chars // 4 characters taken from the texts: (index of text, place in it, hash)."""
+    """Windows of min_chars // 4 characters taken from the texts: (index of text, place in it, hash, hashes of the extensions to twice the length to the left and right, 0 where there is no room)."""
     import numpy as np
 
     k = min_chars // 4
     codes, lens = _codes(texts)
     none = np.zeros(0, np.int64)
     if len(codes) < min_chars:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.int32), none.astype(np.int32)
     ends = np.cumsum(lens)
     room = np.repeat(ends, lens) - np.arange(len(codes))  # characters from here to the end of this text
-    h = _Rolling(codes).all(k)
+    rolling = _Rolling(codes)
+    h = rolling.all(k)
     inside = room[: len(h)] >= k
     h = np.where(inside, h, np.uint64(0xFFFFFFFFFFFFFFFF))
     width = min_chars - k + 1
@@ -106,7 +110,13 @@ def winnow(texts, min_chars: int = MIN_CHARS):
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(len(h) - len(least), np.uint64)])
     taken = np.flatnonzero((_sliding(padded, width, False) == h) & inside)
     doc = np.searchsorted(ends, taken, side="right")
-    return doc, taken - (ends - lens)[doc], h[taken]
+    pos = taken - (ends - lens)[doc]
+    twice = []
+    for fits, start in ((pos >= k, taken - k), (room[taken] >= 2 * k, taken)):
+        x = np.zeros(len(taken), np.int32)
+        x[fits] = (rolling.at(start[fits], 2 * k) >> np.uint64(33)).astype(np.int32) + 1
+        twice.append(x)
+    return doc, pos, h[taken], *twice
 
 
 def _scan(min_chars: int):
@@ -122,9 +132,9 @@ def _scan(min_chars: int):
                 size += len(parts[i][2])
                 if size >= SLICE_CHARS or i + 1 == len(parts):
                     chosen = parts[start : i + 1]
-                    part, pos, h = winnow([p[2] for p in chosen], min_chars)
+                    part, pos, h, left, right = winnow([p[2] for p in chosen], min_chars)
                     doc, offset = np.array([p[0] for p in chosen], np.int64)[part], np.array([p[1] for p in chosen], np.int64)[part]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array((pos + offset).astype(np.int32))], ["h", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array((pos + offset).astype(np.int32)), pa.array(left), pa.array(right)], ["h", "doc", "pos", "left", "right"])
                     start, size = i + 1, 0
 
     return run
@@ -284,10 +294,14 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if min_chars % 4:
         raise ValueError("min_chars must be a multiple of 4")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
-    taken = docs.mapInArrow(_scan(min_chars), "h bigint, doc bigint, pos int")
-    repeated = taken.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > hot).alias("hot"))
-    hits = taken.join(repeated.hint("shuffle_hash"), "h").groupBy("doc").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("hits"))
-    hits = _cut(hits)
+    taken = _cut(docs.mapInArrow(_scan(min_chars), "h bigint, doc bigint, pos int, left int, right int"))
+    lo_hi = (F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    repeated = taken.groupBy("h").agg(*lo_hi, F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > hot).alias("hot"))
+    sides = taken.join(repeated.hint("shuffle_hash"), "h").select("h", "doc", "pos", "hot", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("twice")), F.struct(F.lit(1).alias("side"), F.col("right").alias("twice")))).alias("x")).select("h", "doc", "pos", "hot", "x.*").where("twice <> 0")
+    sides = _cut(sides)
+    double = sides.groupBy("h", "side", "twice").agg(*lo_hi).where("lo < hi").drop("lo", "hi")
+    hits = _cut(sides.join(double, ["h", "side", "twice"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("hits")))
+    docs = _having(docs, hits)
     around = lambda part: docs.join(part.where(F.size("hits") > 0), "doc").select("doc", "text", "hits").mapInArrow(_surroundings(min_chars), "h bigint, hot boolean, doc bigint, start int, lead int, around string").drop("hot")
     parts = around(hits.withColumn("hits", F.filter("hits", lambda x: ~x["hot"]))).repartition("h").sortWithinPartitions("h").mapInArrow(_compare_sorted(min_chars), "doc bigint, b bigint, e bigint")
     hot_hits = hits.withColumn("hits", F.filter("hits", lambda x: x["hot"])).where(F.size("hits") > 0)
@@ -302,6 +316,14 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return spans.select(F.col("doc").alias(id_col), "span_start", "span_end")
 
 
+def _having(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``docs`` without nearly all that have no row in ``hits``: a bitmap over hashed ids, of at most BITMAP_WORDS rows, is broadcast."""
+    at = F.pmod(F.xxhash64("doc"), F.lit(64 * BITMAP_WORDS))
+    word, bit = F.shiftright(at, 6).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+    bits = hits.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    return docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select("doc", "text")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     from labloom.session import cut
 

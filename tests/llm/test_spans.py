@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from labloom.llm.spans import shared_share, shared_spans
+from labloom.llm.spans import _having, shared_share, shared_spans, winnow
 
 
 def brute(texts, n=200):
@@ -88,3 +88,22 @@ def test_long_texts_in_parts(spark, monkeypatch):
     texts = corpus(5)
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
     assert set(map(tuple, shared_spans(df).collect())) == brute(texts)
+
+
+def test_texts_without_windows_are_not_fetched(spark):
+    """The bitmap lets through every record with a hit and next to none without."""
+    docs = spark.range(-500, 20_000).selectExpr("id as doc", "'t' as text")
+    hits = spark.range(-50, 20_000, 50).selectExpr("id as doc")
+    got = {r.doc for r in _having(docs, hits).collect()}
+    want = {r.doc for r in hits.collect()}
+    assert want <= got and len(got) <= len(want) + 5
+    assert _having(docs, hits.limit(0)).count() == 0
+
+
+def test_level_two_hashes():
+    text = "".join(random.Random(5).choices("abcdefgh ", k=700))
+    doc, pos, h, left, right = winnow([text, "x" + text])
+    first, second = ({p: (x, y, z) for d, p, x, y, z in zip(doc, pos, h, left, right, strict=True) if d == k} for k in (0, 1))
+    same = [p for p in first if p + 1 in second and p >= 50]
+    assert len(same) > 5 and all(first[p] == second[p + 1] for p in same if p + 100 <= 700)
+    assert all((left[i] == 0) == (pos[i] < 50) for i in range(len(pos)))
