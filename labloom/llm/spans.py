@@ -8,8 +8,8 @@ characters (for MIN = 200), each level only over what repeated at the level belo
    is taken. The texts are read once for that; with each window go the hashes of its extensions to 100 characters, to the
    left and to the right. Counted over the whole corpus, windows that stand in one record alone fall out.
 2. Of the rest those fall out whose extensions to 100 characters stand in one record alone. No text is needed for that.
-3. Of the records that still have a window the texts are fetched (a bitmap of fixed size over their ids keeps the others
-   from being shuffled), and the stretches of 200 around what survived are compared at every offset; stretches whose
+3. Of the records that still have a window the texts are fetched (a bitmap of fixed size over their ids keeps most
+   others from being shuffled, as one over the repeated hashes does at level one), and the stretches of 200 around what survived are compared at every offset; stretches whose
    surroundings are the same as a whole are settled at once without that. Stretches that overlap or touch become one span.
 
 What is shared at 200 characters is settled there: a level beyond could change no span, as spans are made of stretches of
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 MIN_CHARS = 200
 HOT = 4096
 SLICE_CHARS = 1_000_000
-#: The bitmap over ids of records to fetch: so many words of 64 bits, whatever the data.
-BITMAP_WORDS = 1 << 18
+#: The bitmaps that sift rows before a shuffle have so many words of 64 bits, whatever the data; when full they let everything through.
+BITMAP_WORDS = 1 << 19
 _CHUNK_ROWS = 2048
 
 
@@ -296,12 +296,12 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
     taken = _cut(docs.mapInArrow(_scan(min_chars), "h bigint, doc bigint, pos int, left int, right int"))
     lo_hi = (F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    repeated = taken.groupBy("h").agg(*lo_hi, F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > hot).alias("hot"))
-    sides = taken.join(repeated.hint("shuffle_hash"), "h").select("h", "doc", "pos", "hot", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("twice")), F.struct(F.lit(1).alias("side"), F.col("right").alias("twice")))).alias("x")).select("h", "doc", "pos", "hot", "x.*").where("twice <> 0")
+    repeated = _cut(taken.groupBy("h").agg(*lo_hi, F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > hot).alias("hot")))
+    sides = _having(taken, repeated, "h").join(repeated.hint("shuffle_hash"), "h").select("h", "doc", "pos", "hot", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("twice")), F.struct(F.lit(1).alias("side"), F.col("right").alias("twice")))).alias("x")).select("h", "doc", "pos", "hot", "x.*").where("twice <> 0")
     sides = _cut(sides)
     double = sides.groupBy("h", "side", "twice").agg(*lo_hi).where("lo < hi").drop("lo", "hi")
     hits = _cut(sides.join(double, ["h", "side", "twice"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("hits")))
-    docs = _having(docs, hits)
+    docs = _having(docs, hits, "doc")
     around = lambda part: docs.join(part.where(F.size("hits") > 0), "doc").select("doc", "text", "hits").mapInArrow(_surroundings(min_chars), "h bigint, hot boolean, doc bigint, start int, lead int, around string").drop("hot")
     parts = around(hits.withColumn("hits", F.filter("hits", lambda x: ~x["hot"]))).repartition("h").sortWithinPartitions("h").mapInArrow(_compare_sorted(min_chars), "doc bigint, b bigint, e bigint")
     hot_hits = hits.withColumn("hits", F.filter("hits", lambda x: x["hot"])).where(F.size("hits") > 0)
@@ -316,12 +316,12 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return spans.select(F.col("doc").alias(id_col), "span_start", "span_end")
 
 
-def _having(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """``docs`` without nearly all that have no row in ``hits``: a bitmap over hashed ids, of at most BITMAP_WORDS rows, is broadcast."""
-    at = F.pmod(F.xxhash64("doc"), F.lit(64 * BITMAP_WORDS))
+def _having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most that have no row of their key in ``keys``: a bitmap over hashed keys, of at most BITMAP_WORDS rows, is broadcast."""
+    at = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP_WORDS))
     word, bit = F.shiftright(at, 6).cast("int"), F.pmod(at, F.lit(64)).cast("int")
-    bits = hits.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    return docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select("doc", "text")
+    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).drop("word", "bits")
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -94,10 +94,10 @@ def test_texts_without_windows_are_not_fetched(spark):
     """The bitmap lets through every record with a hit and next to none without."""
     docs = spark.range(-500, 20_000).selectExpr("id as doc", "'t' as text")
     hits = spark.range(-50, 20_000, 50).selectExpr("id as doc")
-    got = {r.doc for r in _having(docs, hits).collect()}
+    got = {r.doc for r in _having(docs, hits, "doc").collect()}
     want = {r.doc for r in hits.collect()}
     assert want <= got and len(got) <= len(want) + 5
-    assert _having(docs, hits.limit(0)).count() == 0
+    assert _having(docs, hits.limit(0), "doc").count() == 0
 
 
 def test_level_two_hashes():
