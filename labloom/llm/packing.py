@@ -1,22 +1,24 @@
 """Items of varying length into containers of fixed capacity, by deficit round-robin over sources.
 
 Items are spread over shards by a hash of their id; a shard is packed in one task. Every source has a queue, sorted by
-size, and a deficit: the tokens it is due by its target share of what has been packed, less what it has got. A container
-takes from the source with the greatest deficit the largest item that still fits; once half of it or less is free, the
-largest item of any source that fits (of equal ones, that of the greatest deficit). When nothing fits the container is closed and
-the deficits go on to the next. Across shards they go on too: a shard starts with the deficits all shards before it leave
-behind, which prefix sums over (shard, source) totals give without packing anything.
+size, and a deficit: the tokens it is due by its target share of what has been packed, less what it has got. The source
+whose deficit is greatest for its share gives the largest of its items that fits, until nothing fits and the container is
+closed; in the last three eighths of a container the deficits choose among the CLOSE largest items of all sources that fit, so
+that little room is left. The deficits go on to the next container. Across shards they go on too: a shard starts with the
+deficits all shards before it leave behind, which prefix sums over (shard, source) totals give without packing anything.
 
 Containers that a shard leaves with room to spare (its last ones, mostly) are opened again: their items go to a second
 round over groups of shards, and from there to a third, each packed the same way. A round starts with the deficits that the
-containers closed before it leave behind, and carries them across its shards by prefix sums too.
+containers closed before it leave behind, and carries them across its shards by prefix sums too. ``mixture`` reports how far
+every window of containers is from the target shares.
 
 An item that exceeds the capacity is cut into pieces of the full capacity and a rest; no other item is split.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import heapq
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -26,46 +28,63 @@ SHARD_ITEMS = 8192
 GOOD_FILL = 0.99
 #: So many shards meet in one group of the next round.
 FAN_IN = 64
+#: In the last part of a container the deficits choose among so many items, the largest that fit.
+LAST_PART, CLOSE = 3 / 8, 16
+#: Containers in a window of the mixture report.
+WINDOW = 16
+#: Shards in a block of the two-level prefix sums.
+BLOCK = 1024
 
 
 class Queues:
-    """The queues of all sources, and their deficits."""
+    """The queues of all sources, and their deficits for their shares (what a source has got by its share, less than which others have got is due)."""
 
     def __init__(self, items, shares, deficits):
         self.by_source: dict[str, list] = {}
-        for item in items:  # (size, id, ...)
+        for item in items:  # (size, id, ..., source)
             self.by_source.setdefault(item[-1], []).append(item)
         for q in self.by_source.values():
             q.sort()
         self.all = sorted(items)
-        self.shares, self.deficits = shares, dict(deficits)
-
-    def take(self, item):
-        source, size = item[-1], item[0]
-        for q in (self.all, self.by_source[source]):
-            del q[bisect_right(q, item) - 1]
-        for s, share in self.shares.items():
-            self.deficits[s] = self.deficits.get(s, 0.0) + share * size
-        self.deficits[source] = self.deficits.get(source, 0.0) - size
-
-    def next(self, room: int, wide: bool):
+        self.shares = shares
+        self.got = {s: self._of(s, -deficits.get(s, 0.0)) for s in self.by_source}
+        self.heap = [(v, s) for s, v in self.got.items()]
+        heapq.heapify(self.heap)
+
+    def _of(self, source, tokens: float) -> float:
+        share = self.shares.get(source, 0.0)
+        return tokens / share if share > 0 else float("inf")
+
+    def take(self, item) -> None:
+        for q in (self.all, self.by_source[item[-1]]):
+            del q[bisect_left(q, item)]
+        self.got[item[-1]] += self._of(item[-1], item[0])
+
+    def by_deficit(self, room: int):
+        """The largest item that fits of the source with the greatest deficit that has one, or None."""
+        aside, found = [], None
+        while self.heap and found is None:
+            got, s = self.heap[0]
+            if not self.by_source[s]:
+                heapq.heappop(self.heap)
+            elif got != self.got[s]:
+                heapq.heapreplace(self.heap, (self.got[s], s))
+            elif i := bisect_right(self.by_source[s], (room, _LAST)):
+                found = self.by_source[s][i - 1]
+            else:
+                aside.append(heapq.heappop(self.heap))
+        for x in aside:
+            heapq.heappush(self.heap, x)
+        return found
+
+    def next(self, room: int, last_part: bool):
         """The item to take next, or None if nothing fits."""
-        if wide:
-            for s in sorted(self.by_source, key=lambda s: (-self.deficits.get(s, 0.0), s)):
-                i = bisect_right(self.by_source[s], (room, _LAST))
-                if i:
-                    return self.by_source[s][i - 1]
+        if not self.all or self.all[0][0] > room:
             return None
+        if not last_part:
+            return self.by_deficit(room)
         i = bisect_right(self.all, (room, _LAST))
-        if not i:
-            return None
-        size, best = self.all[i - 1][0], None
-        while i and self.all[i - 1][0] == size:
-            item = self.all[i - 1]
-            if best is None or self.deficits.get(item[-1], 0.0) > self.deficits.get(best[-1], 0.0):
-                best = item
-            i -= 1
-        return best
+        return min(self.all[max(0, i - CLOSE) : i], key=lambda x: (self.got[x[-1]], -x[0], x[1]))
 
 
 class _Last:
@@ -89,7 +108,7 @@ def pack(items, capacity: int, shares: dict, deficits: dict):
     queues, containers = Queues(items, shares, deficits), []
     while queues.all:
         room, held = capacity, []
-        while (item := queues.next(room, wide=room * 2 > capacity)) is not None:
+        while (item := queues.next(room, last_part=room <= capacity * LAST_PART)) is not None:
             queues.take(item)
             held.append(item)
             room -= item[0]
@@ -115,7 +134,7 @@ def _round(level: int, last: bool, good_fill: float):
             size = sum(x[0] for x in held)
             again = not last and size < good_fill * capacity
             for x in held:
-                at[order[x[1]]], fill[order[x[1]]] = (-1 if again else (level << 56) + (shard << 20) + c), size
+                at[order[x[1]]], fill[order[x[1]]] = (-1 if again else (level << 58) + (shard << 30) + c), size
         out = {k: data[k] for k in ("capacity", "id", "source", "share", "tie", "piece", "offset", "n")} | {"container": at, "filled": fill}
         k = len(items)
         schema = pa.schema([("spec_id", pa.int32()), ("capacity", pa.int64()), ("shard", pa.int64()), ("id", rows.schema.field("id").type), ("source", pa.string()), ("share", pa.float64()), ("tie", pa.int64()), ("piece", pa.int32()), ("offset", pa.int64()), ("n", pa.int64()), ("container", pa.int64()), ("filled", pa.int64())])
@@ -124,13 +143,21 @@ def _round(level: int, last: bool, good_fill: float):
     return run
 
 
+def _before(totals: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``totals`` (one row for each ``by`` and shard) with the sum of a value over all shards before, within ``by``: sums within blocks of shards on top of sums of blocks."""
+    t = totals.withColumn("_block", F.floor(F.col("shard") / BLOCK))
+    up_to = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy(*by, "_block").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(up_to(by, "_block")), F.lit(0))).drop("_sum")
+    inner = t.withColumn(name, F.coalesce(F.sum(value).over(up_to([*by, "_block"], "shard")), F.lit(0)))
+    return inner.join(blocks, [*by, "_block"]).withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
+
+
 def _carried(left: DataFrame, closed: DataFrame) -> DataFrame:
     """``left``, the items of the next round, with what their source is due when their shard begins: its share of what stands in
     ``closed`` containers and in the shards before, less what it has got there."""
     got = left.groupBy("spec_id", "shard", "source").agg(F.sum("n").alias("got"))
-    before = Window.partitionBy("spec_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    by_shard = got.groupBy("spec_id", "shard").agg(F.sum("got").alias("shard_got")).select("spec_id", "shard", F.sum("shard_got").over(before).alias("packed"))
-    got = got.select("spec_id", "shard", "source", F.sum("got").over(Window.partitionBy("spec_id", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)).alias("got_before"))
+    by_shard = _before(got.groupBy("spec_id", "shard").agg(F.sum("got").alias("shard_got")), ["spec_id"], "shard_got", "packed").drop("shard_got")
+    got = _before(got, ["spec_id", "source"], "got", "got_before").drop("got")
     by_source = closed.groupBy("spec_id", "source").agg(F.sum("n").alias("closed_got"))
     by_spec = by_source.groupBy("spec_id").agg(F.sum("closed_got").alias("closed"))
     dues = got.join(by_shard, ["spec_id", "shard"]).join(by_spec, "spec_id", "left").join(by_source, ["spec_id", "source"], "left")
@@ -139,8 +166,8 @@ def _carried(left: DataFrame, closed: DataFrame) -> DataFrame:
     return left.join(dues, ["spec_id", "shard", "source"], "left").withColumn("due", F.col("share") * of("all_before") - of("own_before")).drop("all_before", "own_before")
 
 
-def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL, fan_in: int = FAN_IN, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row for each item or piece: spec_id, container_id, id, piece_no, piece_start, piece_size, filled, capacity, fill.
+def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL, fan_in: int = FAN_IN, targets: dict[str, float] | None = None, keep_source: bool = False) -> DataFrame:
+    """One row for each item or piece: spec_id, container_id, id, piece_no, piece_start, piece_size, filled, capacity, fill, and the source if it is to be kept.
 
     ``specs`` are (spec_id, capacity), a handful. A null source is the source ''. Null sizes count as 0; items of size 0
     stand in some container too. Repeated rows and repeated ids are items of their own. ``sizes`` is read several times:
@@ -163,11 +190,8 @@ def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str =
     if targets is not None:
         whole = sum(targets.values()) or 1.0
         share = F.coalesce(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, v / whole)])[F.col("source")], F.lit(0.0))
-    by_shard = total.groupBy("shard").agg(F.sum("got").alias("shard_got"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    by_shard = by_shard.withColumn("packed", F.coalesce(F.sum("shard_got").over(before), F.lit(0))).select("shard", "packed")
-    got_before = F.coalesce(F.sum("got").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dues = total.withColumn("got_before", got_before).join(by_source, "source").join(by_shard, "shard").select("shard", "source", share.alias("share"), (share * F.col("packed") - F.col("got_before")).alias("due"))
+    by_shard = _before(total.groupBy("shard").agg(F.sum("got").alias("shard_got")), [], "shard_got", "packed").drop("shard_got")
+    dues = _before(total, ["source"], "got", "got_before").join(by_source, "source").join(by_shard, "shard").select("shard", "source", share.alias("share"), (share * F.col("packed") - F.col("got_before")).alias("due"))
     items = base.join(dues, ["shard", "source"]).select("*", spec.alias("s")).select("s.*", "shard", "id", "source", "share", "due", "tie", "size")
     pieces = F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1)).cast("int")
     items = items.select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).withColumn("offset", F.col("piece") * F.col("capacity"))
@@ -187,7 +211,7 @@ def pack_items(sizes: DataFrame, specs: list[tuple[int, int]], *, id_col: str =
         shards, level = -(-shards // fan_in), level + 1
         left = packed.where("container < 0").drop("container", "filled").withColumn("shard", F.floor(F.col("shard") / fan_in).cast("long"))
         items = _carried(left, done)
-    return done.select("spec_id", F.col("container").alias("container_id"), F.col("id").alias(id_col), F.col("piece").alias("piece_no"), F.col("offset").alias("piece_start"), F.col("n").alias("piece_size"), "filled", "capacity", (F.col("filled") / F.col("capacity")).alias("fill"))
+    return done.select("spec_id", F.col("container").alias("container_id"), F.col("id").alias(id_col), *([F.col("source").alias(source_col)] if keep_source else []), F.col("piece").alias("piece_no"), F.col("offset").alias("piece_start"), F.col("n").alias("piece_size"), "filled", "capacity", (F.col("filled") / F.col("capacity")).alias("fill"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -196,6 +220,31 @@ def _cut(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def mixture(packed: DataFrame, *, source_col: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None) -> DataFrame:
+    """(spec_id, window_id, n_containers, n_tokens, error): how far each window of that many containers of a shard, in the order packed, is from the target shares.
+
+    error is the total variation distance, half the sum over all sources of the difference between the share of tokens and
+    the target: 0 for equal shares, near 1 for a single small source. Targets are as in ``pack_items``. A window without
+    tokens has error 0.
+    """
+    boxes = packed.select("spec_id", "container_id").distinct().withColumn("shard", F.shiftright("container_id", 30))
+    place = F.row_number().over(Window.partitionBy("spec_id", "shard").orderBy("container_id")) - 1
+    boxes = boxes.select("spec_id", "container_id", (F.shiftleft("shard", 30) + F.floor(place / window)).alias("window_id"))
+    per_box = packed.groupBy("spec_id", "container_id", F.col(source_col).alias("source")).agg(F.sum("piece_size").alias("n")).join(boxes, ["spec_id", "container_id"])
+    got = per_box.groupBy("spec_id", "window_id", "source").agg(F.sum("n").alias("n"))
+    per = got.groupBy("spec_id", "window_id").agg(F.sum("n").alias("n_tokens")).join(boxes.groupBy("spec_id", "window_id").agg(F.count("*").alias("n_containers")), ["spec_id", "window_id"])
+    shares = got.groupBy("spec_id", "source").agg(F.sum("n").alias("all_got"))
+    share = F.col("all_got") / F.greatest(F.col("every"), F.lit(1))
+    if targets is not None:
+        whole = sum(targets.values()) or 1.0
+        share = F.coalesce(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, v / whole)])[F.col("source")], F.lit(0.0))
+    shares = shares.join(shares.groupBy("spec_id").agg(F.sum("all_got").alias("every")), "spec_id").select("spec_id", "source", share.alias("share"))
+    both = got.join(shares, ["spec_id", "source"]).join(per, ["spec_id", "window_id"])
+    apart = F.abs(F.col("n") / F.greatest(F.col("n_tokens"), F.lit(1)) - F.col("share")) - F.col("share")  # a source without tokens is apart by its share
+    out = both.groupBy("spec_id", "window_id").agg(F.first("n_containers").alias("n_containers"), F.first("n_tokens").alias("n_tokens"), F.sum(apart).alias("apart"))
+    return out.select("spec_id", "window_id", "n_containers", "n_tokens", F.when(F.col("n_tokens") > 0, (F.col("apart") + 1) / 2).otherwise(0.0).alias("error"))
+
+
 def pack_documents(docs: DataFrame, container_spec: DataFrame, *, folder: str | None = None, **kwargs) -> DataFrame:
     """Pages into the containers of every row of container_spec, sized in the tokens of its tokenizer."""
     from labloom.llm.tokens import TOKENIZER_DIR, encode

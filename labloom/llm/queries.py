@@ -63,6 +63,13 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "container_spec"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the tokens of every window of containers are from the shares of the papers."""
+    from labloom.llm.packing import mixture, pack_documents
+
+    return mixture(pack_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "container_spec"), keep_source=True))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labloom.llm.spans import shared_spans
 
@@ -76,7 +83,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_misses": p2_misses, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_share": p8_share}
+    return {"p2_found": p2_found, "p2_misses": p2_misses, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_plain": p5_plain, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_share": p8_share}
 
 
 def _p5_sql() -> str:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from labloom.llm.packing import pack, pack_items
+from labloom.llm.packing import _before, mixture, pack, pack_items
 
 
 def check(rows, sizes, capacity):
@@ -77,3 +77,65 @@ def test_deficits_are_carried_across_rounds(spark):
     owed = len(first) * 50 * 45 / 95  # b's share of what round one closed
     assert set(first) == {"a"} and any("a" in b for b in later) and len(rows) == 800
     assert all(set(b) == {"b"} for b in later[: int(owed / 95)])
+
+
+def in_any_order(items, capacity):
+    boxes, room = [[]], capacity
+    for x in items:
+        if x[0] > room:
+            boxes.append([])
+            room = capacity
+        boxes[-1].append(x)
+        room -= x[0]
+    return boxes
+
+
+def error(boxes, shares, window):
+    out = []
+    for i in range(0, len(boxes), window):
+        got = dict.fromkeys(shares, 0)
+        for x in (x for b in boxes[i : i + window] for x in b):
+            got[x[-1]] += x[0]
+        every = sum(got.values()) or 1
+        out.append(sum(abs(got[s] / every - p) for s, p in shares.items()) / 2)
+    return sum(out) / len(out)
+
+
+@pytest.mark.parametrize("capacity", [1000, 2000, 8000])
+def test_better_than_a_random_order(capacity):
+    rng = random.Random(capacity)
+    sources = [f"s{i}" for i in range(30)]
+    weights = [1 / (i + 1) for i in range(30)]
+    items = [(min(capacity, 1 + int(rng.expovariate(1 / 250))), i, rng.choices(sources, weights)[0]) for i in range(4000)]
+    every = sum(x[0] for x in items)
+    shares = {s: sum(x[0] for x in items if x[2] == s) / every for s in {x[2] for x in items}}
+    boxes = pack(items, capacity, shares, {})
+    assert sorted(x for b in boxes for x in b) == sorted(items)
+    assert every / len(boxes) / capacity >= 0.99
+    for window in (1, 16):
+        assert error(boxes, shares, window) < error(in_any_order(items, capacity), shares, window)
+
+
+def test_mixture(spark):
+    rows = [(1, 0, "a", 60), (1, 0, "b", 40), (1, 5, "a", 100), (1, 1 << 30, "b", 50), (2, 0, None, 0)]
+    got = {(r.spec_id, r.window_id): (r.n_containers, r.n_tokens, round(r.error, 6)) for r in mixture(spark.createDataFrame(rows, "spec_id int, container_id bigint, source string, piece_size bigint").fillna({"source": ""})).collect()}
+    a = 160 / 250
+    assert got == {(1, 0): (2, 200, round(0.8 - a, 6)), (1, 1 << 30): (1, 50, round(a, 6)), (2, 0): (1, 0, 0.0)}
+    assert mixture(spark.createDataFrame([], "spec_id int, container_id bigint, source string, piece_size bigint")).count() == 0
+
+
+def test_two_level_prefix_sums(spark, monkeypatch):
+    from labloom.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK", 4)
+    data = [(s, k, (s * 7 + k) % 11) for s in range(30) for k in range(2) if (s + k) % 3]
+    df = spark.createDataFrame(data, "shard bigint, k bigint, v bigint")
+    got = {(r.shard, r.k): r.b for r in _before(df, ["k"], "v", "b").collect()}
+    assert got == {(s, k): sum(v for s2, k2, v in data if k2 == k and s2 < s) for s, k, _ in data}
+
+
+def test_many_sources_and_a_source_without_share():
+    items = [(1 + i % 300, i, f"s{i % 1000}") for i in range(8000)]
+    boxes = pack(items, 1000, {f"s{i}": 1 / 900 for i in range(900)}, {})
+    assert sorted(x for b in boxes for x in b) == sorted(items)
+    assert {x[2] for x in boxes[0]} <= {f"s{i}" for i in range(900)}
