@@ -81,9 +81,10 @@ class Queues:
         """The item to take next, or None if nothing fits."""
         if not self.all or self.all[0][0] > room:
             return None
-        if not last_part:
-            return self.by_deficit(room)
+        item = self.by_deficit(room)
         i = bisect_right(self.all, (room, _LAST))
+        if not last_part or item[0] >= self.all[max(0, i - CLOSE)][0]:
+            return item
         return min(self.all[max(0, i - CLOSE) : i], key=lambda x: (self.got[x[-1]], -x[0], x[1]))
 
 
