@@ -4,11 +4,26 @@ import random
 
 import pytest
 
-from labloom.llm.canonical import UNMAPPED, Names, base, distance, key, map_labels, map_observations
+from labloom.llm.canonical import LEAST_SUPPORT, MAX_EDITS, UNMAPPED, Names, allowed, base, deletes, distance, key, map_labels, map_observations, trimmings
+from labloom.llm.canonical import _CHEAP as CHEAP
 from labloom.llm.truncation import cut_fields
 
 LIST = [("ferritin", "F", 9), ("serum ferritin", "F", 9), ("transferrin", "T", 5), ("transferrin saturation", "S", 1), ("urea", "U", 3), ("urate level", "V", 2), ("kupfer im Serum", "C", 1), ("铁蛋白", "F", 9), ("complement c3", "3", 1), ("alpha amylase", "A", 1), ("inorganic phosphate", "P", 1), ("magnesium", "M", 1)]
-NAMES = Names(LIST, ["umol/L", "u[IU]/mL", "mg/L", "%"])
+# "level" and "serum" stand in names of four entries, so that they say nothing of what is measured
+LIST += [("ferritin level", "F", 9), ("magnesium level", "M", 1), ("urea level", "U", 3), ("serum transferrin", "T", 5), ("serum urea", "U", 3), ("serum magnesium", "M", 1)]
+UNITS = ["umol/L", "u[IU]/mL", "mg/L", "%"]
+LABELS = [t.format(n) for t in ("S-{}", "{}. {}", "Lab: {}", "{} / fasting", "{} - repeat", "{} 2nd sample", "{} [see note]", "serum serm {}") for n in ("urea", "magnesium", "Transferrin", "ferritin") if t.count("{}") == 1] + ["1. urea", "12. ferritin", "3. magnesium", "urea hydrolysis", "serm urea", "serm ferritin", "serm magnesium", "ferritin (umol/l)", "urea (umol/l)", "magnesium (umol/l)", None, ""]
+
+
+def learned(labels):
+    known, found = Names(LIST, UNITS, near=False), {}
+    for label in labels:
+        for before, trimming, code in known.learn(label):
+            found.setdefault((before, trimming), set()).add(code)
+    return tuple(frozenset(t for (b, t), codes in found.items() if b == before and len(codes) >= LEAST_SUPPORT and t != "serm") for before in (True, False))
+
+
+NAMES = Names(LIST, UNITS, learned(LABELS))
 
 
 @pytest.mark.parametrize(
@@ -69,6 +84,32 @@ def test_distance_and_recall_of_the_dictionary():
             assert found is not None
 
 
+def test_trimmings_are_learned(spark):
+    names = spark.sparkContext.broadcast(LIST)
+    before, behind = trimmings(spark.createDataFrame([(x,) for x in LABELS * 2], "label string"), names, UNITS)
+    assert {"s-", "lab:", "#."} <= before and {"/ fasting", "- repeat", "#nd sample", "[see note]"} <= behind
+    assert "serm" not in before and "hydrolysis" not in behind and not any("umol" in t for t in behind)
+    assert (before, behind) == learned(LABELS)
+    assert Names(LIST, UNITS).code("Lab: Ferritin xyz") == UNMAPPED == NAMES.code("ferritin hydrolysis")
+
+
+def test_candidates_are_bounded_by_the_weighted_distance():
+    names = Names([("bicarbonate ions", "B", 1), ("transferrin", "T", 1)], [])
+    assert distance("hiearhouateions", "bicarbonateions", 3.0) == 2.0
+    assert names.code("hiearhouate ions") == "B"
+    # whatever is within the bound of an entry shares a deletion with it
+    rng = random.Random(3)
+    for _ in range(3000):
+        w = rng.choice([key(base(n)) for n, _, _ in LIST])
+        c = list(w)
+        for _ in range(rng.randrange(7)):
+            i = rng.randrange(len(c))
+            c[i] = rng.choice([b for a, b in CHEAP if a == c[i]] or [c[i]]) if rng.random() < 0.7 else rng.choice("aeiouxyz")
+        s = "".join(c)
+        if slow(s, w) <= min(allowed(len(s)), allowed(len(w))):
+            assert deletes(s, MAX_EDITS) & deletes(w, MAX_EDITS)
+
+
 def test_frame(spark):
     df = spark.createDataFrame([("1", "ferritin", "x"), ("1", "ferritin", "x"), ("2", None, None), ("3", "Ｆｅrritin", ""), ("4", "zzz", "")], "id string, raw_analyte_label string, code string")
     names = spark.createDataFrame([("F", "ferritin"), ("F", None), (None, "x")], "candidate_code string, name string")
