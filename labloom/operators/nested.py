@@ -4,8 +4,11 @@ All payloads of an Arrow batch are laid end to end. Bitmaps of backslashes, quot
 the bytes; a running parity of the unescaped quotes gives what is inside strings, running sums of the brackets the depth
 of everything outside. Tokens sorted by depth find their enclosing bracket by a running maximum, so every value knows its
 parent, its key or place, and its span, without a parser's walk. The same bitmaps check each token against the one before
-it, so a payload that breaks the grammar anywhere gives no rows. Wrappers are followed by looking for the objects that
-bear a pack's key; a payload that is one string is decoded and indexed again.
+it, so a payload that breaks the grammar anywhere gives no rows. Linked rows are selected by masks over all values of the
+batch at once, and their texts are cut out of the bytes by spans. Wrappers are followed by looking for the objects that
+bear a pack's key; a payload that is one string is decoded and indexed again, however many layers there are.
+
+``node_rows`` flattens any JSON so: one row for each value, with its parent's number.
 """
 
 from __future__ import annotations
@@ -18,19 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SLICE_BYTES = 4_000_000
-LAYERS = 5
 OBJECT, ARRAY, END_OBJECT, END_ARRAY, COLON, COMMA, STRING, SCALAR = range(8)
 _SCALAR = re.compile(rb"(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\Z")
 
 
 class Index:
-    """Values of all records: rec, parent (a value or -1), key (bytes or None), place, kind, begin, end; and which records are whole."""
+    """Values of all records: rec, parent (a value or -1), span of the key (or -1), place, kind, begin, end; and which records are whole."""
 
     def __init__(self, texts: list[bytes]):
         import numpy as np
 
         self.raw = raw = b"\n".join(texts) + b"\n"
-        b = np.frombuffer(raw, np.uint8)
+        self.bytes = b = np.frombuffer(raw, np.uint8)
         lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         starts = np.cumsum(lens) - lens
         rec = np.repeat(np.arange(len(texts)), lens)
@@ -39,6 +41,7 @@ class Index:
 
         # quotes and what is inside strings
         slash = b == 92
+        self.slashes = np.concatenate([[0], np.cumsum(slash)])
         last = np.maximum.accumulate(np.where(slash, -1, at))
         escaped = np.zeros(n, bool)
         escaped[1:] = ((at[:-1] - last[:-1]) & 1) == 1
@@ -132,43 +135,68 @@ class Index:
         number[v] = np.arange(len(v))
         self.ok, self.rec, self.kind, self.begin, self.end = ok, r[v], k[v], tok[v], ends[v]
         self.parent = np.where(enclosing[v] >= 0, number[enclosing[v]], -1)
-        self.null = np.fromiter((raw[s : s + 4] == b"null" for s in self.begin), bool, len(v)) & (self.kind == SCALAR)
+        self.null = (self.kind == SCALAR) & (b[self.begin] == 110)
+        self.key_begin, self.key_end = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
         keyed = np.flatnonzero(ctx[v] == OBJECT)
-        self.key: list[bytes | None] = [None] * len(v)
-        for i in keyed:
-            t = v[i] - 2
-            self.key[i] = raw[tok[t] + 1 : ends[t] - 1]
+        self.key_begin[keyed], self.key_end[keyed] = tok[v[keyed] - 2] + 1, ends[v[keyed] - 2] - 1
+        self.keyed = keyed
         self.place = np.zeros(len(v), np.int64)
         by_parent = np.argsort(self.parent, kind="stable")
         p = self.parent[by_parent]
         new = np.ones(len(v), bool)
         new[1:] = p[1:] != p[:-1]
         self.place[by_parent] = np.arange(len(v)) - np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-        names: dict[bytes, list[int]] = {}
-        for i in keyed:
-            names.setdefault(self.key[i], []).append(i)
-        self.by_name: dict[str, list[int]] = {}
-        for name, places in names.items():
-            self.by_name.setdefault(_decoded(name), []).extend(places)
+        self.place[self.parent < 0] = 0
         self.size = len(v)
+        self.escaped_keys: dict[str, list[int]] = {}
+        for i in keyed[self.slashes[self.key_end[keyed]] > self.slashes[self.key_begin[keyed]]].tolist():
+            self.escaped_keys.setdefault(_decoded(raw[self.key_begin[i] : self.key_end[i]]), []).append(i)
+
+    def named(self, name: str):
+        """The values that bear a key, in order."""
+        import numpy as np
+
+        want = np.frombuffer(name.encode(), np.uint8)
+        at = self.keyed[(self.key_end - self.key_begin)[self.keyed] == len(want)]
+        at = at[(self.bytes[self.key_begin[at][:, None] + np.arange(len(want))] == want).all(axis=1)]
+        return np.sort(np.concatenate([at, np.asarray(self.escaped_keys.get(name, []), np.int64)]))
 
     def under(self, name: str):
         """For every value its child of that name that isn't null (of repeated names the last), or -1."""
         import numpy as np
 
         out = np.full(self.size + 1, -1, np.int64)
-        at = np.sort(np.asarray(self.by_name.get(name, []), np.int64))
+        at = self.named(name)
         out[self.parent[at]] = at
         out[-1] = -1
         hit = out >= 0
         hit[hit] = ~self.null[out[hit]]
         return np.where(hit, out, -1)
 
-    def text(self, i: int) -> str:
-        """A value as text: a string without quotes and escapes, anything else as it stands."""
-        if self.kind[i] == STRING:
-            return _decoded(self.raw[self.begin[i] + 1 : self.end[i] - 1])
-        return self.raw[self.begin[i] : self.end[i]].decode()
+    def texts(self, values) -> pa.Array:
+        """Values as text: a string without quotes and escapes, anything else as it stands."""
+        quoted = (self.kind[values] == STRING).astype("int64")
+        return self.cut(self.begin[values] + quoted, self.end[values] - quoted, quoted == 1)
+
+    def keys(self, values) -> pa.Array:
+        """The keys of values that have one."""
+        return self.cut(self.key_begin[values], self.key_end[values], self.key_begin[values] >= 0)
+
+    def cut(self, begin, end, string) -> pa.Array:
+        """Spans of the bytes as text, all at once; escapes are undone where the span is of a string and has any."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        size = end - begin
+        stop = np.cumsum(size)
+        place = np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+        offsets = np.concatenate([[0], stop]).astype(np.int64)
+        out = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.bytes[place]))).cast(pa.string())
+        odd = string & (self.slashes[end] > self.slashes[begin])
+        if odd.any():
+            plain = [_decoded(self.raw[x:y]) for x, y in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)]
+            out = pc.replace_with_mask(out, pa.array(odd), pa.array([t.encode("utf-8", "replace").decode() for t in plain], pa.string()))
+        return out
 
 
 def _decoded(inner: bytes) -> str:
@@ -176,121 +204,186 @@ def _decoded(inner: bytes) -> str:
 
 
 class Packs:
-    """The rows of the packs in an index: (rec, pack_ord, child, parent_key, child_key, value)."""
+    """The rows of the packs in an index, as parts: (child, packs, parent keys, child keys, values), each an array over the rows of one kind."""
 
     def __init__(self, index: Index):
         import numpy as np
 
-        self.x, self.rows = index, []
-        x = index
-        self.children: dict[int, list[int]] = {}
-        for i, p in enumerate(x.parent.tolist()):
-            self.children.setdefault(p, []).append(i)
+        x, self.x, self.parts = index, index, []
         name = {n: x.under(n) for n in ("benchmark_id", "lineage", "id", "mapping_threshold_config", "default", "overrides", "candidate_code", "threshold", "artifact_refs", "kind", "href", "metrics", "name", "value", "reports", "report_name", "payload", "checks", "metric")}
         self.name = name
-        is_pack = name["benchmark_id"][:-1] >= 0
-        up, inner = x.parent.copy(), np.zeros(x.size, bool)
-        while (up >= 0).any():
-            inner |= (up >= 0) & is_pack[up]
-            up = np.where(up >= 0, x.parent[up], -1)
-        for p in np.flatnonzero(is_pack & ~inner).tolist():
-            self.pack(p)
-
-    def entries(self, holder: int, key: str, value: str | None) -> Iterator[tuple[str, int]]:
-        """Names and values of an object keyed by name, or of a list of objects that bear the name."""
+        # a pack within a pack is none: spans nest or lie apart, so only ends before a begin matter
+        packs = np.flatnonzero(name["benchmark_id"][:-1] >= 0)
+        latest = np.concatenate([[-1], np.maximum.accumulate(x.end[packs])[:-1]]) if len(packs) else np.zeros(0, np.int64)
+        self.packs = packs = packs[x.begin[packs] >= latest]
+        holder = x.parent[packs]
+        self.ord = np.where((holder >= 0) & (x.kind[holder] == ARRAY), x.place[packs], 0)
+        first = np.searchsorted(x.rec[packs], x.rec[packs]) if len(packs) else packs
+        self.no = np.arange(len(packs)) - first
+        every = np.arange(len(packs))
+        bench = x.texts(name["benchmark_id"][packs])
+        self.add("pack", every, pa.array([""] * len(packs), pa.string()), bench, packs)
+        lineage = name["lineage"][packs]
+        told = (lineage >= 0) & (name["id"][lineage] >= 0)
+        told, lineage = every[told], lineage[told]
+        lids = x.texts(name["id"][lineage])
+        self.add("lineage", told, bench.take(pa.array(told)), lids, lineage)
+        config = name["mapping_threshold_config"][lineage]
+        default = np.where(config >= 0, name["default"][config], -1)
+        has = np.flatnonzero(default >= 0)
+        self.add("threshold", told[has], lids.take(pa.array(has)), pa.array(["default"] * len(has), pa.string()), default[has])
+        self.entries("threshold", np.where(config >= 0, name["overrides"][config], -1), told, lids, "candidate_code", "threshold")
+        self.entries("artifact_ref", name["artifact_refs"][packs], every, bench, "kind", "href")
+        self.entries("metric", name["metrics"][packs], every, bench, "name", "value")
+        at, keys, values, listed = self.members(name["reports"][packs], "report_name", "payload")
+        payload = np.where(listed, values, name["payload"][values])
+        good = np.flatnonzero(payload >= 0)
+        at, keys, payload = at[good], keys.take(pa.array(good)), payload[good]
+        self.add("report", at, bench.take(pa.array(at)), keys, payload)
+        self.entries("check", name["checks"][payload], at, keys, "metric", None)
+
+    def add(self, child: str, at, parent_keys: pa.Array, child_keys: pa.Array, values) -> None:
+        """Rows of one kind: at are places in ``packs``."""
+        self.parts.append((child, at, parent_keys, child_keys, values))
+
+    def members(self, holders, key: str, value: str | None):
+        """Of holders (a value or -1 each) the entries of objects keyed by name and of lists of objects that bear the name: place of the holder, names, values, whether from a list."""
+        import numpy as np
+
         x = self.x
-        if holder < 0:
-            return
-        for c in self.children.get(holder, ()):
-            if x.null[c]:
-                continue
-            if x.kind[holder] == OBJECT:
-                yield _decoded(x.key[c]), c
-            elif x.kind[holder] == ARRAY and x.kind[c] == OBJECT and (k := self.name[key][c]) >= 0:
-                v = c if value is None else self.name[value][c]
-                if v >= 0:
-                    yield x.text(k), v
-
-    def pack(self, p: int) -> None:
-        x, name = self.x, self.name
-        ord_ = int(x.place[p]) if x.parent[p] >= 0 and x.kind[x.parent[p]] == ARRAY else 0
-        bench = x.text(name["benchmark_id"][p])
-        add = lambda child, parent, key, value: self.rows.append((int(x.rec[p]), ord_, child, parent, key, value))
-        add("pack", "", bench, p)
-        if (lin := name["lineage"][p]) >= 0 and (lid := name["id"][lin]) >= 0:
-            lineage = x.text(lid)
-            add("lineage", bench, lineage, lin)
-            if (config := name["mapping_threshold_config"][lin]) >= 0:
-                if (d := name["default"][config]) >= 0:
-                    add("threshold", lineage, "default", d)
-                for code, v in self.entries(name["overrides"][config], "candidate_code", "threshold"):
-                    add("threshold", lineage, code, v)
-        for kind, v in self.entries(name["artifact_refs"][p], "kind", "href"):
-            add("artifact_ref", bench, kind, v)
-        for metric, v in self.entries(name["metrics"][p], "name", "value"):
-            add("metric", bench, metric, v)
-        for report, v in self.entries(name["reports"][p], "report_name", "payload"):
-            payload = v if x.kind[name["reports"][p]] == ARRAY else name["payload"][v]
-            if payload < 0:
-                continue
-            add("report", bench, report, payload)
-            for metric, c in self.entries(name["checks"][payload], "metric", None):
-                add("check", report, metric, c)
-
-    def attributes(self, i: int) -> list[tuple[str, str]]:
-        """Of an object its members that are neither null nor nested; of anything else its value."""
+        of = np.full(x.size + 1, -1, np.int64)
+        of[holders[holders >= 0]] = np.flatnonzero(holders >= 0)
+        c = np.flatnonzero((of[x.parent] >= 0) & (x.parent >= 0) & ~x.null)
+        kind = x.kind[x.parent[c]]
+        direct = c[kind == OBJECT]
+        listed = c[(kind == ARRAY) & (x.kind[c] == OBJECT)]
+        listed = listed[self.name[key][listed] >= 0]
+        values = listed if value is None else self.name[value][listed]
+        listed, values = listed[values >= 0], values[values >= 0]
+        names = pa.concat_arrays([x.keys(direct), x.texts(self.name[key][listed])])
+        return np.concatenate([of[x.parent[direct]], of[x.parent[listed]]]), names, np.concatenate([direct, values]), np.concatenate([np.zeros(len(direct), bool), np.ones(len(listed), bool)])
+
+    def entries(self, child: str, holders, at, parent_keys: pa.Array, key: str, value: str | None) -> None:
+        place, names, values, _ = self.members(holders, key, value)
+        self.add(child, at[place], parent_keys.take(pa.array(place)), names, values)
+
+    def attributes(self, values) -> pa.Array:
+        """Of objects their members that are neither null nor nested (of repeated names the last); of anything else its value."""
+        import numpy as np
+
         x = self.x
-        if x.kind[i] != OBJECT:
-            return [("value", x.text(i))]
-        return list({_decoded(x.key[c]): x.text(c) for c in self.children.get(i, ()) if x.kind[c] >= STRING and not x.null[c]}.items())
-
-
-def flatten(texts: list[bytes], layers: int = LAYERS) -> list[tuple]:
-    """(place in texts, pack_ord, child, parent_key, child_key, attributes) of all packs in the payloads."""
-    rows, todo = [], list(enumerate(texts))
-    for _ in range(layers):
-        if not todo:
-            break
-        index = Index([t for _, t in todo])
+        of = np.full(x.size + 1, -1, np.int64)
+        whole = x.kind[values] == OBJECT
+        of[values[whole]] = np.flatnonzero(whole)
+        c = np.flatnonzero((x.parent >= 0) & (of[x.parent] >= 0) & (x.kind >= STRING) & ~x.null)
+        alone = np.flatnonzero(~whole)
+        row = np.concatenate([of[x.parent[c]], alone])
+        keys = pa.concat_arrays([x.keys(c), pa.array(["value"] * len(alone), pa.string())])
+        texts = x.texts(np.concatenate([c, values[alone]]))
+        code = keys.dictionary_encode().indices.to_numpy()
+        mark = row * (int(code.max()) + 1 if len(code) else 1) + code
+        _, last = np.unique(mark[::-1], return_index=True)
+        keep = np.sort(len(mark) - 1 - last)
+        keep = keep[np.argsort(row[keep], kind="stable")]
+        offsets = np.searchsorted(row[keep], np.arange(len(values) + 1)).astype(np.int32)
+        return pa.MapArray.from_arrays(pa.array(offsets), keys.take(pa.array(keep)), texts.take(pa.array(keep)))
+
+
+def pack_columns(texts: list[bytes], attributes: bool = True) -> list[dict]:
+    """Tables (as columns) of all packs in the payloads: place in texts, pack_ord, pack_no, child, parent_key, child_key, attributes."""
+    import numpy as np
+
+    out, todo, places = [], texts, np.arange(len(texts))
+    while len(todo):
+        index = Index(todo)
         packs = Packs(index)
-        rows += [(todo[rec][0], o, c, pk, ck, packs.attributes(v)) for rec, o, c, pk, ck, v in packs.rows]
-        again = [i for i in range(index.size) if index.parent[i] < 0 and index.kind[i] == STRING]
-        todo = [(todo[index.rec[i]][0], index.text(i).encode("utf-8", "surrogatepass")) for i in again]
-    return rows
+        for child, at, parents, keys, values in packs.parts:
+            if len(at):
+                columns = {"place": places[index.rec[packs.packs[at]]], "pack_ord": packs.ord[at], "pack_no": packs.no[at], "child": pa.array([child] * len(at), pa.string()), "parent_key": parents, "child_key": keys}
+                out.append(columns | ({"attributes": packs.attributes(values)} if attributes else {}))
+        # what is one string is decoded and indexed again; each layer is shorter than the one around it
+        again = np.flatnonzero((index.parent < 0) & (index.kind == STRING))
+        todo = [t.encode("utf-8", "surrogatepass") for t in index.texts(again).to_pylist()]
+        places = places[index.rec[again]]
+    return out
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Payloads (column 1) in slices of bounded size, each with the place of its first."""
+    payloads = batch.column(1).to_pylist()
+    start = size = 0
+    for i in range(len(payloads)):
+        size += len(payloads[i])
+        if size >= SLICE_BYTES or i + 1 == len(payloads):
+            yield start, [p.encode() for p in payloads[start : i + 1]]
+            start, size = i + 1, 0
+
+
+def _flatten_batches(attributes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in _slices(batch):
+                for t in pack_columns(texts, attributes):
+                    ids = batch.column(0).take(pa.array(t.pop("place") + start))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) if not isinstance(c, pa.Array) else c for c in t.values())], ["record_id", *t])
+
+    return run
+
+
+def pack_rows(proof_packs: DataFrame, *, id_col: str = "record_id", payload_col: str = "payload", attributes: bool = True) -> DataFrame:
+    """(record_id, pack_ord, pack_no, child, parent_key, child_key, attributes map<string,string>): a row for each child of each pack.
+
+    child is pack, lineage, threshold, artifact_ref, metric, report or check; pack_ord is the pack's place in its list,
+    pack_no its number in the payload, which with the keys links a row to its parent even where a payload has several lists
+    of packs. Null payloads and payloads that aren't whole JSON give no row, nor do entries whose value is null or absent.
+    Repeated records give repeated rows; other columns are ignored. ``attributes`` may be left out. No shuffle.
+    """
+    chosen = proof_packs.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload")).where("payload is not null")
+    id_type = chosen.schema["record_id"].dataType.simpleString()
+    return chosen.mapInArrow(_flatten_batches(attributes), f"record_id {id_type}, pack_ord bigint, pack_no bigint, child string, parent_key string, child_key string" + (", attributes map<string,string>" if attributes else ""))
 
 
-def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
+KINDS = {OBJECT: "object", ARRAY: "array", STRING: "string", SCALAR: "scalar"}
+
+
+def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+    import pyarrow.compute as pc
+
+    kinds = pa.array([KINDS.get(i, "") for i in range(8)], pa.string())
     for batch in batches:
-        payloads = batch.column(1).to_pylist()
-        ids, start, size = batch.column(0), 0, 0
-        for i in range(len(payloads)):
-            size += len(payloads[i])
-            if size >= SLICE_BYTES or i + 1 == len(payloads):
-                rows = flatten([p.encode() for p in payloads[start : i + 1]])
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                out = [ids.take(pa.array([start + x for x in columns[0]], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(out, ["record_id", "pack_ord", "child", "parent_key", "child_key", "attributes"])
-                start, size = i + 1, 0
-
-
-def pack_rows(proof_packs: DataFrame, *, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
-    """(record_id, pack_ord, child, parent_key, child_key, attributes map<string,string>): a row for each child of each pack.
-
-    child is pack, lineage, threshold, artifact_ref, metric, report or check; pack_ord with the keys links a row to its
-    parent. Null payloads and payloads that aren't whole JSON give no row, nor do entries whose value is null or absent.
-    Repeated records give repeated rows; other columns are ignored. No shuffle.
+        for start, texts in _slices(batch):
+            x = Index(texts)
+            first = np.searchsorted(x.rec, x.rec)
+            node = np.arange(x.size) - first
+            parent = pa.array(np.where(x.parent >= 0, x.parent - first, 0), mask=x.parent < 0)
+            inner = pa.array(x.kind < STRING)
+            none = pa.scalar(None, pa.string())
+            key = pc.if_else(pa.array(x.key_begin >= 0), x.cut(np.maximum(x.key_begin, 0), np.maximum(x.key_end, 0), x.key_begin >= 0), none)
+            leaf = np.where(x.kind < STRING, x.begin, x.end)  # brackets give no text
+            quoted = (x.kind == STRING).astype(np.int64)
+            value = pc.if_else(pc.or_(inner, pa.array(x.null)), none, x.cut(x.begin + quoted, leaf - quoted, quoted == 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.rec + start)), pa.array(node), parent, key, pa.array(x.place), kinds.take(pa.array(x.kind.astype(np.int64))), value], ["record_id", "node", "parent", "key", "place", "kind", "value"])
+
+
+def node_rows(records: DataFrame, *, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
+    """(record_id, node, parent, key, place, kind, value): every value of any JSON as a row, numbered in the order read.
+
+    parent is the number of the object or list around it (null for the whole), key its name there (null in a list), place
+    its 0-based place, kind object, array, string or scalar; value is null for objects, lists and JSON null. Null payloads
+    and payloads that aren't whole JSON give no row; repeated records give repeated rows; other columns are ignored.
+    Strings are not decoded any further. No shuffle.
     """
-    chosen = proof_packs.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload")).where("payload is not null")
+    chosen = records.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload")).where("payload is not null")
     id_type = chosen.schema["record_id"].dataType.simpleString()
-    return chosen.mapInArrow(_flatten_batches, f"record_id {id_type}, pack_ord bigint, child string, parent_key string, child_key string, attributes map<string,string>")
+    return chosen.mapInArrow(_node_batches, f"record_id {id_type}, node bigint, parent bigint, key string, place bigint, kind string, value string")
 
 
 def pack_tables(proof_packs: DataFrame, **kwargs) -> dict[str, DataFrame]:
     """One flat table for each kind of child; lineage bears rule_pack_version and the other versions as columns."""
     rows = pack_rows(proof_packs, **kwargs)
     a = lambda k: F.col("attributes")[k]
-    link = ["record_id", "pack_ord"]
+    link = ["record_id", "pack_ord", "pack_no"]
     of = lambda c: rows.where(F.col("child") == c)
     return {
         "packs": of("pack").select(*link, F.col("child_key").alias("benchmark_id"), *[a(k).alias(k) for k in ("contract_version", "report_type", "lineage_id")]),

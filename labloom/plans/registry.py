@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labloom.operators.nested import pack_rows
+from labloom.operators.nested import node_rows, pack_rows
 from labloom.operators.units import other_units, recorded_units
 from labloom.plans import aggregate_queries, block_queries, catalog, decision_queries, more_queries, page_queries, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
 from labloom.plans import units_sql
@@ -19,7 +19,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each child of each pack in the payloads."""
-    return pack_rows(table(spark, sf_dir, "proof_packs")).drop("attributes")
+    return pack_rows(table(spark, sf_dir, "proof_packs"), attributes=False).drop("pack_no")
 
 
 def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_rows(table(spark, sf_dir, "proof_packs")).withColumn("attributes", F.to_json("attributes"))
 
 
+def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every payload, linked to the one around it."""
+    return node_rows(table(spark, sf_dir, "proof_packs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations printed in another unit than their analyte's canonical one."""
     return other_units(*(table(spark, sf_dir, t) for t in ("observation", "launch_scope_rules", "unit_dim")))
@@ -38,7 +43,7 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_rows": p1_rows, "p4_found": p4_found, "p4_canonical": p4_canonical} | catalog.QUERIES
+    return {"p1_found": p1_found, "p1_rows": p1_rows, "p1_nodes": p1_nodes, "p4_found": p4_found, "p4_canonical": p4_canonical} | catalog.QUERIES
 
 
 P1_SQL = """WITH read AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM proof_packs WHERE payload IS NOT NULL),
