@@ -112,22 +112,27 @@ def ag11_ag15_exclusive_totals(t: Tables) -> DataFrame:
 @query("SELECT lane_type, source_feed, grouping(lane_type)::INT * 2 + grouping(source_feed)::INT AS level, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (dead_letter) AS errors FROM jobs GROUP BY GROUPING SETS ((lane_type), (source_feed), ())")
 def ag12_ag13_grouping_sets(t: Tables) -> DataFrame:
     """Totals by lane, by feed and over all in one pass."""
-    t.jobs.createOrReplaceTempView("_jobs_for_sets")
-    return t.spark.sql("SELECT lane_type, source_feed, cast(grouping(lane_type) * 2 + grouping(source_feed) AS int) AS level, count(*) AS total, count_if(status = 'completed') AS completed, count_if(dead_letter) AS errors FROM _jobs_for_sets GROUP BY GROUPING SETS ((lane_type), (source_feed), ())")
+    lane, feed = F.col("lane_type"), F.col("source_feed")
+    sets = t.jobs.groupingSets([[lane], [feed], []], lane, feed)
+    level = (F.grouping("lane_type") * 2 + F.grouping("source_feed")).cast("int")
+    return sets.agg(level.alias("level"), F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if("dead_letter").alias("errors")).select("lane_type", "source_feed", "level", "total", "completed", "errors")
 
 
 @query(
-    """WITH e AS (SELECT panel_key, count(*) AS expected FROM launch_scope_rules GROUP BY panel_key), s AS (SELECT o.job_id, r.panel_key, count(DISTINCT o.accepted_analyte_code) AS seen FROM observation o JOIN launch_scope_rules r ON r.candidate_code = o.accepted_analyte_code GROUP BY 1, 2)
-    SELECT s.job_id, s.panel_key, round(seen / expected, 4) AS coverage, seen / expected >= CASE WHEN expected = 1 THEN 1.0 WHEN expected <= 5 THEN 0.7 ELSE 0.5 END AS enough, greatest(1, ceil(expected * 0.7))::BIGINT AS floor FROM s JOIN e USING (panel_key)"""
+    """WITH e AS (SELECT panel_key, count(*) AS expected FROM launch_scope_rules GROUP BY panel_key), f AS (SELECT job_id, bool_and(support_state = 'supported') AS fully FROM observation GROUP BY job_id), s AS (SELECT o.job_id, r.panel_key, count(DISTINCT o.accepted_analyte_code) AS seen FROM observation o JOIN launch_scope_rules r ON r.candidate_code = o.accepted_analyte_code GROUP BY 1, 2)
+    SELECT s.job_id, s.panel_key, round(seen / expected, 4) AS coverage, seen / expected >= CASE WHEN expected = 1 THEN 1.0 WHEN expected <= 5 THEN 0.7 ELSE 0.5 END AS enough, CASE WHEN expected <= 1 THEN 1 ELSE greatest(1, ceil(expected * CASE WHEN fully THEN 0.7 ELSE 0.5 END)) END::BIGINT AS floor FROM s JOIN e USING (panel_key) JOIN f ON f.job_id IS NOT DISTINCT FROM s.job_id"""
 )
 def ag17_ag18_panel_coverage(t: Tables) -> DataFrame:
-    """How much of a panel a job covers, against a share that depends on the panel's size, and the least number expected."""
+    """How much of a panel a job covers, against a share that depends on the panel's size, and the least number expected: 0.7 of it where all of the job is supported, else half."""
     e = t.launch_scope_rules.groupBy("panel_key").agg(F.count("*").alias("expected"))
     r = t.launch_scope_rules.select(F.col("candidate_code").alias("accepted_analyte_code"), "panel_key")
+    fully = t.observation.groupBy(F.col("job_id").alias("_job")).agg(F.bool_and(F.col("support_state") == "supported").alias("fully"))
     s = t.observation.join(r, "accepted_analyte_code").groupBy("job_id", "panel_key").agg(F.count_distinct("accepted_analyte_code").alias("seen")).join(e, "panel_key")
     ratio = F.col("seen") / F.col("expected")
     need = F.when(F.col("expected") == 1, 1.0).when(F.col("expected") <= 5, 0.7).otherwise(0.5)
-    return s.select("job_id", "panel_key", F.round(ratio, 4).alias("coverage"), (ratio >= need).alias("enough"), F.greatest(F.lit(1), F.ceil(F.col("expected") * 0.7)).cast("bigint").alias("floor"))
+    floor = F.when(F.col("expected") <= 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("expected") * F.when(F.col("fully"), 0.7).otherwise(0.5))))
+    s = s.join(fully, F.col("job_id").eqNullSafe(F.col("_job")))
+    return s.select("job_id", "panel_key", F.round(ratio, 4).alias("coverage"), (ratio >= need).alias("enough"), floor.cast("bigint").alias("floor"))
 
 
 HITS_SQL = ", ".join(f"list_count(list_filter({sql_list(w)}, lambda w: contains(lower(text), w)))::INT AS {k}" for k, w in PAGE_WORDS.items())
@@ -431,14 +436,15 @@ def set08_intersect(t: Tables) -> DataFrame:
 
 # --- mutations ----------------------------------------------------------------------------------------------------
 @query(
-    """WITH e AS (SELECT * FROM jobs WHERE created_at < TIMESTAMP '2025-10-01'), i AS (SELECT * FROM jobs WHERE created_at >= TIMESTAMP '2025-10-01')
-    SELECT id, input_checksum FROM (SELECT *, row_number() OVER (PARTITION BY input_checksum ORDER BY created_at, id) AS rn FROM i) WHERE rn = 1 AND input_checksum NOT IN (SELECT input_checksum FROM e WHERE input_checksum IS NOT NULL)"""
+    """WITH j AS (SELECT id, CASE WHEN retry_count > 1 THEN NULL ELSE input_checksum END AS input_checksum, created_at FROM jobs), e AS (SELECT * FROM j WHERE created_at < TIMESTAMP '2025-10-01'), i AS (SELECT * FROM j WHERE created_at >= TIMESTAMP '2025-10-01')
+    SELECT id, input_checksum FROM (SELECT *, row_number() OVER (PARTITION BY input_checksum ORDER BY created_at, id) AS rn FROM i WHERE input_checksum IS NOT NULL) WHERE rn = 1 AND input_checksum NOT IN (SELECT input_checksum FROM e WHERE input_checksum IS NOT NULL)
+    UNION ALL SELECT id, NULL FROM i WHERE input_checksum IS NULL"""
 )
 def mu01_st03_insert_if_absent(t: Tables) -> DataFrame:
-    """Later jobs whose checksum hasn't come before, once each."""
-    cols = t.jobs.select("id", "input_checksum", "created_at")
+    """Later jobs whose checksum hasn't come before, once each; jobs retried more than once stand in for those without one, which always go in."""
+    cols = t.jobs.select("id", F.when(~(F.col("retry_count") > 1), F.col("input_checksum")).alias("input_checksum"), "created_at")
     new = rel.insert_if_absent(cols.where("created_at < timestamp '2025-10-01'"), cols.where("created_at >= timestamp '2025-10-01'"), "input_checksum", [F.col("created_at"), F.col("id")])
-    return new.where("input_checksum is not null").select("id", "input_checksum")
+    return new.select("id", "input_checksum")
 
 
 @query("SELECT id, CASE WHEN retry_count < 2 AND NOT dead_letter THEN retry_count + 1 END AS new_count, retry_count >= 2 OR dead_letter AS refused FROM jobs")

@@ -23,18 +23,26 @@ def _banded(t: Tables, bands) -> DataFrame:
     return d.select("doc_id", F.col("b.i").alias("line_no"), F.col("b.band").alias("band"))
 
 
-@query()
+def fold_sql(order: str, value: str, close: str, update: str) -> str:
+    """Bands by a running value, line by line: b is the line, r what stands before it."""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i FROM documents WHERE lines IS NOT NULL),
+    b AS (SELECT doc_id, i, v, row_number() OVER (PARTITION BY doc_id ORDER BY {order}, i) AS n FROM (SELECT doc_id, i::INT AS i, x.x0 AS x0, x.y0 AS y0, ({value})::DOUBLE AS v FROM l)),
+    r AS (SELECT doc_id, n, i, 0 AS band, v AS c, 1 AS k FROM b WHERE n = 1 UNION ALL SELECT b.doc_id, b.n, b.i, r.band + CASE WHEN {close} THEN 0 ELSE 1 END, CASE WHEN {close} THEN {update} ELSE b.v END, CASE WHEN {close} THEN r.k + 1 ELSE 1 END FROM r JOIN b ON b.doc_id = r.doc_id AND b.n = r.n + 1)
+    SELECT doc_id, i AS line_no, band FROM r"""
+
+
+@query(fold_sql("y0, x0", "x.y0", "abs(b.v - r.c) <= 3.0", "(r.c + b.v) / 2"))
 def seq01_line_bands(t: Tables) -> DataFrame:
     """Lines in bands by the running median of their tops."""
     return _banded(t, folds.line_bands)
 
 
-@query()
+@query(fold_sql("v, x0", "(x.y0 + x.y1) / 2", "abs(b.v - r.c) <= 4.5", "r.c + (b.v - r.c) / (r.k + 1)"))
 def seq03_mean_rows(t: Tables) -> DataFrame:
     return _banded(t, folds.mean_rows)
 
 
-@query()
+@query(fold_sql("v, x0", "(x.y0 + x.y1) / 2", "abs(b.v - r.c) < 5.0", "r.c"))
 def seq04_anchored_rows(t: Tables) -> DataFrame:
     return _banded(t, folds.anchored_rows)
 
@@ -118,9 +126,9 @@ _M = "{" + ", ".join(f"{Q(k)}: {Q(v)}" for k, v in readers.MIME_ALIASES.items())
     f"""WITH f AS (SELECT doc_id, 'in/' || doc_id || ({[*EXTENSIONS]!r})[1 + doc_id % 6] AS path, ({[*MIMES]!r})[1 + (doc_id % 7) % 6] AS mime, (CASE WHEN doc_id % 2 = 0 THEN '%PDF' ELSE '' END) || coalesce(text, '') AS content FROM documents),
     k AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS filename, lower(regexp_extract(path, '(\\.[^.]+)$', 1)) AS extension, coalesce(MAP {_M}[mime], mime) AS m, octet_length(encode(content)) AS length FROM f)
     SELECT path, filename, extension, m AS mime_type, length, sha256(content) AS checksum, CASE WHEN rj IS NULL THEN CASE extension WHEN '.json' THEN 'structured' WHEN '.pdf' THEN 'trusted_pdf' ELSE 'image_beta' END END AS lane_type, rj AS reject FROM (SELECT *, CASE
-      WHEN length > 20000 THEN 'file_too_large' WHEN filename = '' THEN 'filename_missing' WHEN extension = '' THEN NULL WHEN extension NOT IN ('.pdf', '.png', '.jpg', '.json') THEN 'unsupported_extension:' || extension
-      WHEN NOT ((extension = '.pdf' AND m = 'application/pdf') OR (extension = '.png' AND m = 'image/png') OR (extension = '.jpg' AND m = 'image/jpeg') OR (extension = '.json' AND m = 'application/json')) THEN 'mime_type_mismatch:' || extension
-      WHEN extension = '.pdf' AND NOT starts_with(content, '%PDF') THEN 'magic_byte_mismatch:pdf' WHEN extension IN ('.png', '.jpg') THEN 'magic_byte_mismatch:' || substr(extension, 2) END AS rj FROM k) WHERE extension <> ''"""
+      WHEN length > 20000 THEN 'file_too_large' WHEN filename = '' THEN 'filename_missing' WHEN extension = '' THEN 'unsupported_extension:missing' WHEN extension NOT IN ('.pdf', '.png', '.jpg', '.json') THEN 'unsupported_extension:' || extension
+      WHEN NOT ((extension = '.pdf' AND m = 'application/pdf') OR (extension = '.png' AND m = 'image/png') OR (extension = '.jpg' AND m = 'image/jpeg') OR (extension = '.json' AND m = 'application/json')) THEN 'mime_type_mismatch:' || extension || ':' || coalesce(nullif(m, ''), 'missing')
+      WHEN extension = '.pdf' AND NOT starts_with(content, '%PDF') THEN 'magic_byte_mismatch:pdf' WHEN extension IN ('.png', '.jpg') THEN 'magic_byte_mismatch:' || substr(extension, 2) END AS rj FROM k)"""
 )
 def src01_src04_classify_uploads(t: Tables) -> DataFrame:
     """Uploads with size, name, kind and first bytes checked; the corpus stands in for the files."""
@@ -128,11 +136,19 @@ def src01_src04_classify_uploads(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     content = F.concat(F.when(d % 2 == 0, "%PDF").otherwise(""), F.coalesce("text", F.lit("")))
     files = t.documents.select(F.concat(F.lit("in/"), d.cast("string"), pick(EXTENSIONS, d % 6)).alias("path"), pick(MIMES, (d % 7) % 6).alias("mime_type"), F.encode(content, "UTF-8").alias("content"))
-    out = readers.classify_uploads(files.withColumn("length", F.octet_length("content").cast("bigint")), 20_000)
-    return out.where("extension <> ''")
+    return readers.classify_uploads(files.withColumn("length", F.octet_length("content").cast("bigint")), 20_000)
 
 
-@query()
+_O = "source_page, row_hash, raw_text, raw_analyte_label, raw_value_string, raw_unit_string, raw_reference_range, parsed_numeric_value"
+
+
+@query(
+    f"""WITH r AS (SELECT * REPLACE (CASE WHEN source_page > 3 THEN 0 ELSE source_page END AS source_page) FROM extracted_row),
+    o AS (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY {', '.join(c + ' NULLS FIRST' for c in _O.split(', '))}) - 1)::INT AS index FROM r),
+    e AS (SELECT *, list_filter([CASE WHEN source_page IS NULL THEN 'source_page' END, CASE WHEN row_hash IS NULL THEN 'row_hash' END, CASE WHEN raw_analyte_label IS NULL THEN 'raw_analyte_label' END], lambda x: x IS NOT NULL) AS missing FROM o)
+    SELECT job_id AS id, index, row_hash, raw_analyte_label, CASE WHEN len(missing) > 0 THEN 'structured_observation_missing_fields:' || index || ':' || array_to_string(missing, ',') WHEN source_page < 1 THEN 'structured_observation_invalid_source_page:' || index
+      WHEN trim(row_hash, ' ') = '' THEN 'structured_observation_invalid_row_hash:' || index WHEN trim(raw_analyte_label, ' ') = '' THEN 'structured_observation_invalid_analyte_label:' || index END AS error FROM e"""
+)
 def src05_structured_rows(t: Tables) -> DataFrame:
     """Structured payloads with the error of each row that has one; every job is one payload."""
     row = F.struct(F.when(F.col("source_page") > 3, F.lit(0)).otherwise(F.col("source_page")).alias("source_page"), "row_hash", "raw_text", "raw_analyte_label", "raw_value_string", "raw_unit_string", "raw_reference_range", "parsed_numeric_value")
@@ -167,14 +183,6 @@ def src17_src18_manifest(t: Tables) -> DataFrame:
 
 
 # --- sinks --------------------------------------------------------------------------------------------------------
-@query("SELECT id, substr(raw_text, 1, 64) AS raw_text, substr(raw_analyte_label, 1, 16) AS raw_analyte_label FROM extracted_row")
-def snk01_clipped_stage(t: Tables) -> DataFrame:
-    """A stage table written with widths of its SQL's own, not the reference's (see snk01_extracted_stage), and read again."""
-    path = f"{checkpoint_dir(t.spark)}/stage-{uuid.uuid4().hex}"
-    writers.append_stage(t.extracted_row.select("id", "raw_text", "raw_analyte_label"), path, {"raw_text": 64, "raw_analyte_label": 16})
-    return t.spark.read.parquet(path)
-
-
 #: Columns of the reference's extracted rows, and the widths of those that are bounded there.
 STAGE_COLUMNS = ["id", "document_id", "job_id", "source_page", "row_hash", "raw_text", "raw_analyte_label", "raw_value_string", "raw_unit_string", "raw_reference_range", "extraction_confidence"]
 STAGE_WIDTHS = {"raw_value_string": 64, "raw_unit_string": 64, "raw_reference_range": 128}

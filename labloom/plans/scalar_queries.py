@@ -124,16 +124,21 @@ def sc19_sc21_parse_line(t: Tables) -> DataFrame:
     return m.select("id", "source_page", F.trim("l").alias("label"), F.replace(F.trim("v"), F.lit(" "), F.lit("")).alias("value"), F.trim("u").alias("unit"), reference.alias("reference"))
 
 
-DUAL = r"(?i)^(\S+)\b.*?(\d+(?:\.\d+)?)\s*(%|percent|pct)\s+(\d+(?:\.\d+)?)"
+#: Fixed pattern: a line of HbA1c with both of its units, and the ranges printed for them.
+DUAL = r"(?i)^hba1c\b.*?(\d+(?:\.\d+)?)\s*%\s+(\d+(?:\.\d+)?)\s*mmol/mol"
+DUAL_ROWS = [("%", 1, "< 5.7"), ("mmol/mol", 2, "< 39")]
+#: No line of the tables is of that kind: lines of whole values with two numbers stand in for it, worded so.
+_DUAL_LINE = "regexp_replace(raw_text, '^.*?([0-9]+(?:[.][0-9]+)?) .*?([0-9]+(?:[.][0-9]+)?).*$', 'HbA1c (IFCC) \\1 % \\2 mmol/mol')"
 
 
 @query(
-    f"""SELECT id, channel, value FROM (SELECT id, unnest([1, 2]) AS channel, unnest([regexp_extract(raw_text, {Q(DUAL)}, 2), regexp_extract(raw_text, {Q(DUAL)}, 4)]) AS value FROM extracted_row WHERE regexp_matches(raw_text, {Q(DUAL)}))"""
+    f"""SELECT id, unnest({[u for u, _, _ in DUAL_ROWS]!r}) AS unit, unnest([{', '.join(f"regexp_extract(line, {Q(DUAL)}, {g})" for _, g, _ in DUAL_ROWS)}]) AS value, unnest({[r for _, _, r in DUAL_ROWS]!r}) AS reference FROM (SELECT id, {_DUAL_LINE} AS line FROM extracted_row) WHERE regexp_matches(line, {Q(DUAL)})"""
 )
 def sc20_dual_rows(t: Tables) -> DataFrame:
-    """A line with a percentage and a second number gives a row for each channel."""
-    hit = t.extracted_row.where(F.col("raw_text").rlike(DUAL))
-    return hit.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("channel"), F.regexp_extract("raw_text", DUAL, g).alias("value")) for i, g in ((1, 2), (2, 4))])).alias("r")).select("id", "r.*")
+    """A line of HbA1c in both of its units gives a row for each, with the range printed for it; no other label does."""
+    line = F.regexp_replace("raw_text", r"^.*?([0-9]+(?:[.][0-9]+)?) .*?([0-9]+(?:[.][0-9]+)?).*$", "HbA1c (IFCC) $1 % $2 mmol/mol")
+    hit = t.extracted_row.select("id", line.alias("line")).where(F.col("line").rlike(DUAL))
+    return hit.select("id", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.regexp_extract("line", DUAL, g).alias("value"), F.lit(r).alias("reference")) for u, g, r in DUAL_ROWS])).alias("r")).select("id", "r.*")
 
 
 @query(f"SELECT id, list_extract(regexp_extract_all(raw_text, {Q('(' + lab.RANGE_PATTERN + ')')}, 1), -1) AS last_range FROM extracted_row")

@@ -50,8 +50,8 @@ def classify_uploads(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     reject = (
         F.when(F.col("length") > max_bytes, "file_too_large")
         .when(F.col("filename") == "", "filename_missing")
-        .when(expected.isNull(), F.concat(F.lit("unsupported_extension:"), F.nullif(F.col("extension"), F.lit(""))))
-        .when(~F.array_contains(expected, F.col("mime_type")), F.concat(F.lit("mime_type_mismatch:"), "extension"))
+        .when(expected.isNull(), F.concat(F.lit("unsupported_extension:"), F.coalesce(F.nullif(F.col("extension"), F.lit("")), F.lit("missing"))))
+        .when(~F.array_contains(expected, F.col("mime_type")), F.concat(F.lit("mime_type_mismatch:"), "extension", F.lit(":"), F.coalesce(F.nullif(F.col("mime_type"), F.lit("")), F.lit("missing"))))
         .when(magic.isNotNull() & ~F.startswith(head, magic), F.concat(F.lit("magic_byte_mismatch:"), F.substring("extension", 2, 10)))
     )
     lane = F.when(F.col("extension") == ".json", "structured").when(F.col("extension") == ".pdf", "trusted_pdf").otherwise("image_beta")
