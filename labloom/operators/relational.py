@@ -7,6 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def holding(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+    """(i, o) of distinct texts of which the outer one holds the inner one: they meet in the inner one's first three characters, nothing is crossed."""
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(o) - n + 1, F.lit(1))), lambda at: F.substring(o, at, F.lit(n)))
+    pieces = F.array_distinct(F.flatten(F.array(of_size(1), of_size(2), of_size(3))))
+    return inner.where(F.length(i) > 0).select(i, F.substring(i, 1, 3).alias("_piece")).join(outer.where(F.length(o) > 0).select(o, F.explode(pieces).alias("_piece")), "_piece").where(F.contains(F.col(o), F.col(i))).select(i, o)
+
+
+def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(text, contained array<string>, sorted): the names that a text holds or that hold it, for texts that have any. Both sides must be distinct."""
+    pairs = holding(names, name, texts, text).select(text, name).unionByName(holding(texts, text, names, name).select(text, name))
+    return pairs.groupBy(text).agg(F.array_sort(F.collect_set(name)).alias("contained"))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in the given order (which should end in a unique column)."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from labloom.functions import lab
 from labloom.operators import relational as rel
+from labloom.plans import packs_sql
 from labloom.plans.catalog import Tables, query
 from labloom.plans.relational_queries import COUNTERS, PAGE_WORDS, QA_SQL, panels, qa_verdicts, sql_list
 from labloom.plans.scalar_queries import Q, sql_label_key
@@ -222,7 +223,7 @@ def ag27_entity_counts(t: Tables) -> DataFrame:
     return of("extracted_row", t.extracted_row, one).unionByName(of("observation", t.observation, one)).unionByName(of("candidate", t.observation, F.sum(F.size("candidates")))).unionByName(of("job", t.jobs, one))
 
 
-@query()
+@query(packs_sql.TIMINGS)
 def ag28_ag29_timing_metrics(t: Tables) -> DataFrame:
     """Metrics of all packs by name, timings told from the rest by their suffix."""
     from labloom.operators.nested import pack_tables

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labloom.operators.nested import node_rows, pack_rows
 from labloom.operators.units import other_units, recorded_units
 from labloom.plans import aggregate_queries, block_queries, catalog, decision_queries, more_queries, page_queries, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
-from labloom.plans import units_sql
+from labloom.plans import packs_sql, units_sql
 from labloom.plans.catalog import Query
 from labloom.session import table
 
@@ -23,8 +23,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with each child's own values, as JSON."""
-    return pack_rows(table(spark, sf_dir, "proof_packs")).withColumn("attributes", F.to_json("attributes"))
+    """A row for each value of its own that a child has."""
+    return pack_rows(table(spark, sf_dir, "proof_packs")).select("record_id", "pack_ord", "pack_no", "child", "parent_key", "child_key", F.explode("attributes").alias("name", "value"))
 
 
 def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,23 +46,6 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_rows": p1_rows, "p1_nodes": p1_nodes, "p4_found": p4_found, "p4_canonical": p4_canonical} | catalog.QUERIES
 
 
-P1_SQL = """WITH read AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM proof_packs WHERE payload IS NOT NULL),
-d AS (SELECT record_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN (j->>'$')::JSON END ELSE j END AS j FROM read),
-u AS (SELECT record_id, CASE WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.envelope') THEN j->'$.envelope'->'$.proof_pack' WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.proof_packs') THEN j->'$.proof_packs' ELSE j END AS j FROM d),
-k AS (SELECT record_id, 0::BIGINT AS pack_ord, j AS p FROM u WHERE json_type(j) = 'OBJECT' UNION ALL SELECT record_id, unnest(range(json_array_length(j)::BIGINT)) AS pack_ord, unnest(json_extract(j, '$[*]')) FROM u WHERE json_type(j) = 'ARRAY'),
-p AS (SELECT record_id, pack_ord, p, p->>'$.benchmark_id' AS b, CASE WHEN p->>'$.lineage' IS NOT NULL THEN p->>'$.lineage.id' END AS l FROM k WHERE p->>'$.benchmark_id' IS NOT NULL),
-parts AS (SELECT record_id, pack_ord, 'threshold' AS child, l AS parent, p->'$.lineage.mapping_threshold_config.overrides' AS h, 'candidate_code' AS k, 'threshold' AS v FROM p WHERE l IS NOT NULL
-  UNION ALL SELECT record_id, pack_ord, 'artifact_ref', b, p->'$.artifact_refs', 'kind', 'href' FROM p UNION ALL SELECT record_id, pack_ord, 'metric', b, p->'$.metrics', 'name', 'value' FROM p UNION ALL SELECT record_id, pack_ord, 'report', b, p->'$.reports', 'report_name', 'payload' FROM p),
-e AS (SELECT record_id, pack_ord, child, parent, unnest(json_keys(h)) AS key, unnest(json_extract(h, '$.*')) AS value, true AS keyed FROM parts WHERE json_type(h) = 'OBJECT'
-  UNION ALL SELECT record_id, pack_ord, child, parent, x->>('$.' || k), x->('$.' || v), false FROM (SELECT *, unnest(json_extract(h, '$[*]')) AS x FROM parts WHERE json_type(h) = 'ARRAY')),
-f AS (SELECT record_id, pack_ord, child, parent, key, CASE WHEN child = 'report' AND keyed THEN value->'$.payload' ELSE value END AS value FROM e WHERE key IS NOT NULL),
-g AS (SELECT * FROM f WHERE value IS NOT NULL AND json_type(value) <> 'NULL')
-SELECT record_id, pack_ord, 'pack' AS child, '' AS parent_key, b AS child_key FROM p
-UNION ALL SELECT record_id, pack_ord, 'lineage', b, l FROM p WHERE l IS NOT NULL
-UNION ALL SELECT record_id, pack_ord, 'threshold', l, 'default' FROM p WHERE l IS NOT NULL AND p->>'$.lineage.mapping_threshold_config.default' IS NOT NULL
-UNION ALL SELECT record_id, pack_ord, child, parent, key FROM g
-UNION ALL SELECT record_id, pack_ord, 'check', key, m FROM (SELECT record_id, pack_ord, key, unnest(json_extract(value, '$.checks[*].metric'))->>'$' AS m FROM g WHERE child = 'report') WHERE m IS NOT NULL"""
-
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": units_sql.FOUND, "p4_canonical": units_sql.CANONICAL} | catalog.SQL
+    return {"p1_found": packs_sql.FOUND, "p1_rows": packs_sql.VALUES, "p4_found": units_sql.FOUND, "p4_canonical": units_sql.CANONICAL} | catalog.SQL

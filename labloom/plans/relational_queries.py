@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labloom.functions import lab
-from labloom.operators import relational as rel
+from labloom.operators import relational as rel, resolution
+from labloom.plans import packs_sql
 from labloom.plans.catalog import Tables, query
-from labloom.plans.scalar_queries import Q, sql_collapse, sql_label_key
+from labloom.plans.scalar_queries import Q, sql_collapse, sql_label_key, sql_map
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 HEADER_PREFIXES = [
@@ -221,6 +222,23 @@ def jn02_token_signature(t: Tables) -> DataFrame:
     return o.join(dim, "s").select("id", F.when(F.col("n") == 1, F.col("code")).otherwise("ambiguous_tokens").alias("candidate_code"))
 
 
+_TOKEN = lambda c: f"coalesce({sql_map(lab.UNIT_SYNONYMS)}[{sql_collapse('lower(coalesce(' + c + ', ' + Q('') + '))')}], {sql_collapse('lower(coalesce(' + c + ', ' + Q('') + '))')})"
+
+
+@query(
+    f"""WITH o AS (SELECT o.id, {_TOKEN('o.raw_unit_string')} AS u, r.panel_key FROM observation o JOIN launch_scope_rules r ON r.candidate_code = o.accepted_analyte_code),
+    m AS (SELECT o.id, any_value(o.u) AS u, count(DISTINCT d.candidate_code) AS of, list(DISTINCT d.candidate_code) FILTER (o.u <> '' AND list_contains(list_transform(d.expected_ucum_units, lambda x: {_TOKEN('x')}), o.u)) AS fit, arg_min(d.candidate_code, (d.ordinal, d.candidate_code)) AS first FROM o JOIN launch_scope_rules d ON d.panel_key = o.panel_key GROUP BY o.id)
+    SELECT id, CASE WHEN of = 1 THEN first WHEN len(coalesce(fit, [])) = 1 THEN fit[1] END AS candidate_code, CASE WHEN of > 1 AND len(coalesce(fit, [])) <> 1 THEN CASE WHEN u = '' THEN 'unit_required' ELSE 'unit_mismatch' END END AS reason FROM m"""
+)
+def jn03_disambiguation(t: Tables) -> DataFrame:
+    """Names that several codes share are told apart by the unit; the list has no such names, so panels stand in for them."""
+    r = t.launch_scope_rules
+    named = F.concat(F.lit("panel "), F.col("panel_key"))
+    shared = r.select("candidate_code", named.alias("canonical_label"), "ordinal", "expected_ucum_units", lab.label_key(named).alias("k"))
+    o = t.observation.join(r.select(F.col("candidate_code").alias("accepted_analyte_code"), "panel_key"), "accepted_analyte_code")
+    return resolution.resolve(o, shared, named, F.col("raw_unit_string")).select("id", "candidate_code", "reason")
+
+
 @query(
     f"""SELECT o.id, CASE WHEN o.raw_unit_string IS NULL THEN 'unit_required' WHEN list_contains(list_transform(r.expected_ucum_units, lambda u: lower(u)), lower({sql_collapse('o.raw_unit_string')})) THEN 'accepted' ELSE 'unit_mismatch' END AS outcome
     FROM observation o JOIN launch_scope_rules r ON r.candidate_code = o.accepted_analyte_code"""
@@ -334,7 +352,7 @@ def jn12_exists_flags(t: Tables) -> DataFrame:
     return t.jobs.select("id").join(s, "id", "left").join(p, "id", "left").select("id", F.coalesce("s", F.lit(False)).alias("has_supported"), F.coalesce("p", F.lit(False)).alias("has_pack"))
 
 
-@query()
+@query(packs_sql.CHECKS)
 def jn13_ag30_baselines(t: Tables) -> DataFrame:
     """Every check of every pack against its baseline: pass, regressed or missing."""
     from labloom.operators.nested import pack_tables
@@ -349,12 +367,10 @@ def jn13_ag30_baselines(t: Tables) -> DataFrame:
     SELECT o.id, list_sort(list_filter(e.names, lambda n: n <> '' AND o.k <> '' AND (contains(o.k, n) OR contains(n, o.k)))) AS expected FROM (SELECT id, {sql_label_key('raw_analyte_label')} AS k FROM observation) o, e"""
 )
 def jn14_contained_names(t: Tables) -> DataFrame:
-    """Expected names that contain a label or are contained in it, against a reference list of checked size."""
-    names = [r["n"] for r in t.launch_scope_rules.select(lab.label_key(F.col("canonical_label")).alias("n")).distinct().where("n <> ''").limit(5001).collect()]
-    if len(names) > 5000:
-        raise ValueError("the reference list is too long for containment against each entry")
+    """Expected names that contain a label or are contained in it."""
+    names = t.launch_scope_rules.select(lab.label_key(F.col("canonical_label")).alias("n")).distinct().where("n <> ''")
     k = t.observation.select("id", lab.label_key(F.col("raw_analyte_label")).alias("k"))
-    return k.select("id", F.filter(F.array(*map(F.lit, sorted(names))), lambda n: (F.col("k") != "") & (F.contains(F.col("k"), n) | F.contains(n, F.col("k")))).alias("expected"))
+    return k.join(rel.containing(k.select("k").distinct().where("k <> ''"), "k", names, "n"), "k", "left").select("id", F.coalesce("contained", F.array().cast("array<string>")).alias("expected"))
 
 
 LEAK_TOKENS = ["page 2 of 5", "ward copy", "technician", "specimen haemolysed", "lot 44"]
