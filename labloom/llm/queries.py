@@ -109,5 +109,25 @@ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOU
 SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM g GROUP BY doc_id, island"""
 
 
+P8_SHARE_SQL = f"""SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(s.n, 0)::BIGINT AS shared_chars, CASE WHEN coalesce(length(d.text), 0) > 0 THEN coalesce(s.n, 0) / length(d.text) ELSE 0.0 END AS share
+FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM ({P8_SQL}) GROUP BY doc_id) s USING (doc_id)"""
+
+
+def _p5_plain_sql() -> str:
+    """The expressions of the operator over the table itself, outside of Spark."""
+    from labloom.llm import plain
+
+    def of(column: str) -> str:
+        source = f"SELECT id, {column} AS s FROM observation"
+        for step in plain.plain_sql("s"):
+            source = f"SELECT id, {step} AS s FROM ({source})"
+        return source
+
+    joined = " ".join(f"JOIN ({of(f)}) {f[4]}{i} ON {f[4]}{i}.id = o.id" for i, f in enumerate(PLAIN_FIELDS))
+    names = [f"{f[4]}{i}" for i, f in enumerate(PLAIN_FIELDS)]
+    changed = ", ".join(f"CASE WHEN {n}.s <> o.{f} THEN '{f}' END" for n, f in zip(names, PLAIN_FIELDS, strict=True))
+    return f"SELECT o.id AS observation_id, {', '.join(f'{n}.s AS {f}' for n, f in zip(names, PLAIN_FIELDS, strict=True))}, list_filter([{changed}], lambda x: x IS NOT NULL) AS changed_fields FROM observation o {joined}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _p5_sql(), "p8_found": P8_SQL}
+    return {"p5_found": _p5_sql(), "p5_plain": _p5_plain_sql(), "p8_found": P8_SQL, "p8_share": P8_SHARE_SQL}
