@@ -65,17 +65,6 @@ def ag05_ag06_worst_state(t: Tables) -> DataFrame:
     return r.groupBy("job_id").agg(F.max_by("support_state", "rk").alias("worst"), states.alias("states"))
 
 
-@query(
-    """WITH b AS (SELECT id, raw_reference_range, parsed_numeric_value AS v, regexp_extract_all(raw_reference_range, '[<>] ?([0-9]+(?:[.][0-9]+)?)', 1) AS t FROM observation WHERE parsed_numeric_value IS NOT NULL)
-    SELECT id, list_max(list_filter(list_transform(t, lambda x: CAST(x AS DOUBLE)), lambda x: x <= v)) AS crossed FROM b WHERE len(t) > 0"""
-)
-def ag07_highest_bound_crossed(t: Tables) -> DataFrame:
-    """The greatest of the printed bounds that the value reaches, null if none."""
-    bounds = F.transform(F.regexp_extract_all("raw_reference_range", F.lit("[<>] ?([0-9]+(?:[.][0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    b = t.observation.where("parsed_numeric_value is not null").select("id", "parsed_numeric_value", bounds.alias("t")).where("size(t) > 0")
-    return b.select("id", F.array_max(F.filter("t", lambda x: x <= F.col("parsed_numeric_value"))).alias("crossed"))
-
-
 @query(f"SELECT source_feed, verdict, count(*) AS n FROM ({QA_SQL}) GROUP BY source_feed, verdict")
 def ag08_verdict_counts(t: Tables) -> DataFrame:
     return qa_verdicts(t.extracted_row).groupBy("source_feed", "verdict").agg(F.count("*").alias("n"))
@@ -157,19 +146,6 @@ def ag20_ag21_page_kind(t: Tables) -> DataFrame:
     return s.select("doc_id", F.col("top").alias("top_score"), (F.col("top") - F.col("second")).alias("margin"), F.when(F.col("top") == 0, 0.0).otherwise(F.round(F.col("top") / F.col("total"), 3)).alias("confidence"), kind.alias("kind"))
 
 
-@query(
-    """WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, round(len(regexp_extract_all(text, '[0-9]+')) / greatest(len(regexp_extract_all(text, '[A-Za-z0-9]+')), 1), 4) AS numeric_density,
-      round(list_count(list_filter(ls, lambda x: contains(x, '|') OR (len(regexp_extract_all(x, '[0-9]+')) >= 2 AND len(regexp_extract_all(x, '[A-Za-z0-9]+')) >= 4))) / greatest(len(ls), 1), 4) AS table_density FROM l"""
-)
-def ag22_densities(t: Tables) -> DataFrame:
-    count = lambda c, p: F.regexp_count(c, F.lit(p))
-    x = F.col("text")
-    lines = F.filter(F.split(x, "\n"), lambda l: F.trim(l) != "")
-    like_table = F.filter(lines, lambda l: F.contains(l, F.lit("|")) | ((count(l, "[0-9]+") >= 2) & (count(l, "[A-Za-z0-9]+") >= 4)))
-    return t.documents.where(x.isNotNull()).select("doc_id", F.round(count(x, "[0-9]+") / F.greatest(count(x, "[A-Za-z0-9]+"), F.lit(1)), 4).alias("numeric_density"), F.round(F.size(like_table) / F.greatest(F.size(lines), F.lit(1)), 4).alias("table_density"))
-
-
 BOX_SQL = "(SELECT doc_id, n_columns, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.conf AS conf, pos, total FROM (SELECT doc_id, n_columns, unnest(lines) AS b, generate_subscripts(lines, 1) - 1 AS pos, len(lines) AS total FROM documents))"
 
 
@@ -189,18 +165,6 @@ def ag24_wn12_bands(t: Tables) -> DataFrame:
     return boxes(t).groupBy("doc_id", band.alias("band")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.avg("conf"), 4).alias("conf"))
 
 
-@query(
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, round(count(*) FILTER (regexp_matches(x, '[0-9]')) / greatest(count(*), 1), 4) AS edge_signal FROM l WHERE i <= 2 OR i > n - 2 GROUP BY doc_id"""
-)
-def ag23_edge_signal(t: Tables) -> DataFrame:
-    """The share of the first two and last two lines that bear digits."""
-    ls = F.split("text", "\n")
-    n = F.size("ls")
-    edge = F.filter(F.transform("ls", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["i"] < 2) | (s["i"] >= n - 2))
-    return t.documents.where("text is not null").select("doc_id", ls.alias("ls")).select("doc_id", edge.alias("e")).select("doc_id", F.round(F.size(F.filter("e", lambda s: F.rlike(s["x"], F.lit("[0-9]")))) / F.greatest(F.size("e"), F.lit(1)), 4).alias("edge_signal"))
-
-
 @query("SELECT reason, count(*) AS n FROM (SELECT DISTINCT job_id, raw_analyte_label, unnest(suppression_reasons) AS reason FROM observation) GROUP BY reason")
 def ag25_set04_not_assessed(t: Tables) -> DataFrame:
     """Distinct (job, label, reason) items, counted by reason."""
@@ -232,15 +196,6 @@ def ag28_ag29_timing_metrics(t: Tables) -> DataFrame:
     return m.groupBy("name", F.col("name").endswith("_ms").alias("timing")).agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("greatest"))
 
 
-@query(
-    """SELECT id, round(list_count(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]+$'))) / greatest(list_count(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]+$'))), 1), 4) AS upper_ratio FROM (SELECT id, string_split(raw_text, ' ') AS w FROM extracted_row WHERE raw_text IS NOT NULL)"""
-)
-def ag31_upper_ratio(t: Tables) -> DataFrame:
-    w = F.split("raw_text", " ")
-    n = lambda p: F.size(F.filter(w, lambda x: F.rlike(x, F.lit(p))))
-    return t.extracted_row.where("raw_text is not null").select("id", F.round(n("^[A-Z]+$") / F.greatest(n("^[A-Za-z]+$"), F.lit(1)), 4).alias("upper_ratio"))
-
-
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, count(*) AS boxes, round(count(*) FILTER (len(string_split(x, ' ')) <= 3) / count(*), 4) AS short_ratio, count(*) >= 16 AND count(*) FILTER (len(string_split(x, ' ')) <= 3) / count(*) >= 0.45 AND count(*) FILTER (len(string_split(x, ' ')) <= 2 AND regexp_matches(x, '[0-9]')) >= 6 AS fragmented FROM l GROUP BY doc_id"""
@@ -388,13 +343,6 @@ def or06_layout_order(t: Tables) -> DataFrame:
     return t.documents.where("lines is not null").select("doc_id", F.transform(F.array_sort(s), lambda b: b["i"].cast("int")).alias("reading"))
 
 
-@query("SELECT user_id, id, rn FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id DESC) AS rn FROM jobs WHERE user_id IS NOT NULL) WHERE rn <= 20")
-def or07_history_cap(t: Tables) -> DataFrame:
-    """The twenty newest jobs of each user."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), F.desc("id"))
-    return t.jobs.where("user_id is not null").select("user_id", "id", F.row_number().over(w).cast("bigint").alias("rn")).where("rn <= 20")
-
-
 @query("SELECT lane_type, id FROM (SELECT lane_type, id, row_number() OVER (PARTITION BY lane_type ORDER BY id) AS rn FROM jobs WHERE status = 'completed') WHERE rn <= 5")
 def or08_select_per_tier(t: Tables) -> DataFrame:
     return rel.top_per_key(t.jobs.where("status = 'completed'").select("lane_type", "id"), ["lane_type"], [F.col("id")], 5)

@@ -39,20 +39,6 @@ def src10_src14_precedence(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(boxes > 0, "boxes").when(text, "lines").otherwise("none").alias("source"), n.cast("bigint").alias("n"), (~(boxes > 0)).alias("degraded"))
 
 
-@query(
-    f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS x FROM documents), m AS (SELECT doc_id, x, len(regexp_extract_all(x, '[0-9]+')) AS numbers, len(regexp_extract_all(x, '[A-Za-z0-9]+')) AS words FROM l)
-    SELECT doc_id, count(*) FILTER (numbers >= 2 AND words >= 4 AND numbers / greatest(words, 1) BETWEEN 0.2 AND 0.9 AND length(x) <= 120) AS like_results, count(*) FILTER (numbers = 0 AND words BETWEEN 1 AND 8 AND x = upper(x)) AS headings FROM m GROUP BY doc_id"""
-)
-def flt14_flt15_likeness(t: Tables) -> DataFrame:
-    """Lines of a page that look like results, and lines that are headings alone."""
-    count = lambda x, p: F.regexp_count(x, F.lit(p))
-    numbers, words = lambda x: count(x, "[0-9]+"), lambda x: count(x, "[A-Za-z0-9]+")
-    ls = F.split(F.coalesce("text", F.lit("")), "\n")
-    results = F.filter(ls, lambda x: (numbers(x) >= 2) & (words(x) >= 4) & (numbers(x) / F.greatest(words(x), F.lit(1))).between(0.2, 0.9) & (F.length(x) <= 120))
-    headings = F.filter(ls, lambda x: (numbers(x) == 0) & words(x).between(1, 8) & (x == F.upper(x)))
-    return t.documents.select("doc_id", F.size(results).cast("bigint").alias("like_results"), F.size(headings).cast("bigint").alias("headings"))
-
-
 @query(
     """SELECT id, replace(replace(replace(replace(replace(coalesce(accepted_analyte_display, raw_analyte_label), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS title, coalesce(canonical_value, parsed_numeric_value) AS value, coalesce(canonical_unit, raw_unit_string, '') AS unit
     FROM observation WHERE support_state = 'supported' AND coalesce(canonical_value, parsed_numeric_value) IS NOT NULL"""
@@ -84,20 +70,6 @@ def dm21_dm22_route(t: Tables) -> DataFrame:
     return s.select("document_id", *ROUTES, route.alias("route"), F.round(F.least(F.lit(1.0), top / F.greatest(lab_ + sm + non, F.lit(1))), 3).alias("confidence"))
 
 
-@query(
-    """WITH o AS (SELECT id, support_state, len(suppression_reasons) AS reasons, accepted_analyte_code IS NOT NULL AS coded, count(*) OVER (PARTITION BY job_id, raw_analyte_label, raw_value_string, source_page) AS twins FROM observation)
-    SELECT id, list_filter([CASE WHEN support_state = 'supported' AND reasons > 0 THEN 'supported_with_reasons' END, CASE WHEN support_state = 'unsupported' AND reasons = 0 THEN 'unsupported_without_reason' END, CASE WHEN support_state = 'supported' AND NOT coded THEN 'supported_without_code' END, CASE WHEN twins > 1 THEN 'duplicate_entry' END], lambda x: x IS NOT NULL) AS violations FROM o"""
-)
-def dm24_dm25_violations(t: Tables) -> DataFrame:
-    """Every rule an observation breaks, in one list."""
-    from pyspark.sql import Window
-
-    s, reasons = F.col("support_state"), F.size("suppression_reasons")
-    twins = F.count("*").over(Window.partitionBy("job_id", "raw_analyte_label", "raw_value_string", "source_page"))
-    rules = [F.when((s == "supported") & (reasons > 0), "supported_with_reasons"), F.when((s == "unsupported") & (reasons == 0), "unsupported_without_reason"), F.when((s == "supported") & F.col("accepted_analyte_code").isNull(), "supported_without_code"), F.when(twins > 1, "duplicate_entry")]
-    return t.observation.select("id", F.array_compact(F.array(*rules)).alias("violations"))
-
-
 @query(
     f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS x, generate_subscripts({LINES}, 1) AS i, len({LINES}) AS n FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN (i - 0.5) / n <= 0.05 THEN 'header' WHEN (i - 0.5) / n >= 0.95 THEN 'footer' WHEN regexp_matches(x, '[0-9]') THEN 'result' ELSE 'narrative' END AS route, count(*) AS lines FROM l GROUP BY 1, 2"""

@@ -168,13 +168,6 @@ def mu07_share_log(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("job_id", "artifact_type").agg(F.count("*").alias("views"))
 
 
-@query("SELECT id, unnest(['label', 'value', 'unit', 'range']) AS field, unnest([raw_analyte_label IS NULL, raw_value_string IS NULL, raw_unit_string IS NULL, raw_reference_range IS NULL]) AS missing FROM extracted_row")
-def ag16_mismatch_list(t: Tables) -> DataFrame:
-    """What each row lacks, as a long table."""
-    fields = [("label", "raw_analyte_label"), ("value", "raw_value_string"), ("unit", "raw_unit_string"), ("range", "raw_reference_range")]
-    return t.extracted_row.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).isNull().alias("missing")) for n, c in fields])).alias("m")).select("id", "m.*")
-
-
 @query(
     """SELECT n.n_name, r.r_name, count(DISTINCT o.o_orderkey) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
     WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY n.n_name, r.r_name"""

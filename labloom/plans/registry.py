@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labloom.operators.nested import node_rows, pack_rows
 from labloom.operators.units import other_units, recorded_units
-from labloom.plans import aggregate_queries, block_queries, catalog, decision_queries, more_queries, page_queries, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
+from labloom.plans import aggregate_queries, block_queries, catalog, decision_queries, evidence_queries, more_queries, page_queries, relational_queries, scalar_queries  # noqa: F401  (entering their queries)
 from labloom.plans import packs_sql, units_sql
 from labloom.plans.catalog import Query
 from labloom.session import table

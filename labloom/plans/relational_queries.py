@@ -135,29 +135,6 @@ def flt11_row_ceilings(t: Tables) -> DataFrame:
     return t.extracted_row.where(short("raw_value_string", 64) & short("raw_unit_string", 64) & short("raw_reference_range", 128) & (F.size(F.split(F.coalesce("raw_text", F.lit("")), " ")) <= 32)).select("id")
 
 
-@query(
-    """SELECT doc_id FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '[0-9]+')) * 1.0 / greatest(len(regexp_extract_all(text, '[A-Za-z0-9]+')), 1) < 0.05
-    AND list_count(list_filter(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '[0-9]+')) >= 2)) < 3"""
-)
-def flt12_pages_to_skip(t: Tables) -> DataFrame:
-    """Pages poor in numbers and in lines with two of them."""
-    x = F.col("text")
-    numbers, words = F.regexp_count(x, F.lit("[0-9]+")), F.regexp_count(x, F.lit("[A-Za-z0-9]+"))
-    lines = F.size(F.filter(F.split(x, "\n"), lambda l: F.regexp_count(l, F.lit("[0-9]+")) >= 2))
-    return t.documents.where(x.isNotNull() & (numbers / F.greatest(words, F.lit(1)) < 0.05) & (lines < 3)).select("doc_id")
-
-
-@query(
-    f"""SELECT id, regexp_matches(raw_text, '(?i)\\b(risk|note|interpretation|guideline)') AND NOT regexp_matches(raw_text, '[0-9]') AS suppressed, len(string_split(raw_text, ' ')) > 48 AS hybrid,
-    upper(raw_text) = raw_text AND len(string_split(raw_text, ' ')) <= 8 AND NOT regexp_matches(raw_text, '[0-9]') AS heading FROM extracted_row WHERE raw_text IS NOT NULL"""
-)
-def flt13_flt16_suppressions(t: Tables) -> DataFrame:
-    """Notes without a measurement, headings, and lines too long for a row."""
-    x = F.col("raw_text")
-    words = F.size(F.split(x, " "))
-    return t.extracted_row.where(x.isNotNull()).select("id", (x.rlike(r"(?i)\b(risk|note|interpretation|guideline)") & ~x.rlike("[0-9]")).alias("suppressed"), (words > 48).alias("hybrid"), ((F.upper(x) == x) & (words <= 8) & ~x.rlike("[0-9]")).alias("heading"))
-
-
 @query("SELECT id, list_filter(suppression_reasons, lambda r: NOT contains(r, 'threshold') AND NOT contains(r, 'alias')) AS visible FROM observation WHERE len(suppression_reasons) > 0")
 def flt17_hidden_markers(t: Tables) -> DataFrame:
     return t.observation.where(F.size("suppression_reasons") > 0).select("id", F.filter("suppression_reasons", lambda r: ~any_of(r, ["threshold", "alias"])).alias("visible"))
