@@ -6,6 +6,8 @@ values come out of windows. Folds with richer state group by their key and run i
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -91,7 +93,7 @@ def label_value_groups(lines: DataFrame, keys: list[str], order: str) -> DataFra
     """
     on = [F.col(k) for k in keys]
     low = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
-    held = lambda x, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
+    held = lambda x, words: x.rlike("|".join(map(re.escape, words)))
     w = Window.partitionBy(*on).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     part = F.coalesce(F.sum((F.col("kind") == "excluded").cast("int")).over(before), F.lit(0))

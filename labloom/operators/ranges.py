@@ -15,38 +15,57 @@ BAND = r"([a-z][a-z /\-()]*?)\s*[:\-]?\s*(?:(<=?|≤)\s*(-?\d+(?:\.\d+)?)|(>=?|
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 
 
+#: Parts the groups of a match; stands in no printed text.
+MARK = "\x01"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number(c: Column) -> Column:
-    c = F.trim(c)
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return let(F.trim(c), lambda x: F.when(x.rlike(NUMBER), x.try_cast("double")))
 
 
 def bounds(c: Column) -> Column:
     """struct<low, high> of a printed range: an interval with an ASCII hyphen, or one comparator; null if it is none."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^[()\[\]]+|[()\[\]]+$", ""), r"\s+", " "))
-    hyphen = F.contains(s, F.lit("-")) & ~s.startswith("-")
-    low, high = _number(F.substring_index(s, "-", 1)), _number(F.substring(s, F.instr(s, "-") + 1, F.length(s)))
-    up, down = _number(F.regexp_replace(s, "^[<=≤ ]+", "")), _number(F.regexp_replace(s, "^[>=≥ ]+", ""))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^[()\[\]]+|[()\[\]]+$", ""), r"\s+", " "))
     none = F.lit(None).cast("double")
     pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
-    return F.when(hyphen & low.isNotNull() & high.isNotNull(), pair(low, high)).when(~hyphen & s.rlike("^[<≤]") & up.isNotNull(), pair(none, up)).when(~hyphen & s.rlike("^[>≥]") & down.isNotNull(), pair(down, none))
+
+    def of(s: Column) -> Column:
+        both = F.struct(_number(F.substring_index(s, "-", 1)).alias("low"), _number(F.substring(s, F.instr(s, "-") + 1, F.length(s))).alias("high"))
+        interval = let(both, lambda p: F.when(p["low"].isNotNull() & p["high"].isNotNull(), p))
+        up = let(_number(F.regexp_replace(s, "^[<=≤ ]+", "")), lambda x: F.when(x.isNotNull(), pair(none, x)))
+        down = let(_number(F.regexp_replace(s, "^[>=≥ ]+", "")), lambda x: F.when(x.isNotNull(), pair(x, none)))
+        return F.when(F.contains(s, F.lit("-")) & ~s.startswith("-"), interval).when(s.rlike("^[<≤]"), up).when(s.rlike("^[>≥]"), down)
+
+    return let(plain, of)
 
 
 def band(value: Column, c: Column) -> Column:
-    """'normal' or 'abnormal' by the first of at least two named bands that holds the value, null if none does."""
+    """'normal' or 'abnormal' by the first of at least two named bands that holds the value, null if none does. Each part is matched once."""
+    groups = MARK.join(f"${i}" for i in range(1, 8))
     parts = F.filter(F.transform(F.split(F.regexp_replace(F.lower(c), r"[\n|]+", ";"), ";"), lambda p: F.trim(p)), lambda p: p != "")
-    group = lambda p, i: F.regexp_extract(p, BAND, i)
-    num = lambda p, i: group(p, i).try_cast("double")
-    holds = lambda p: F.coalesce(
-        F.when(group(p, 2) == "<", value < num(p, 3)).when(group(p, 2) != "", value <= num(p, 3)).when(group(p, 4) == ">", value > num(p, 5)).when(group(p, 4) != "", value >= num(p, 5)).when(group(p, 6) != "", value.between(num(p, 6), num(p, 7))), F.lit(False)
-    )
-    first = F.get(F.filter(parts, holds), F.lit(0))
-    label = group(first, 1)
-    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(label, w))
-    return F.when((F.size(parts) >= 2) & first.isNotNull(), F.when(any_of(NOT_ABNORMAL), "normal").when(any_of(ABNORMAL_WORDS), "abnormal").otherwise("normal"))
+
+    def holds(g: Column) -> Column:
+        num = lambda i: g[i].try_cast("double")
+        at = F.when(g[1] == "<", value < num(2)).when(g[1] != "", value <= num(2)).when(g[3] == ">", value > num(4)).when(g[3] != "", value >= num(4)).when(g[5] != "", value.between(num(5), num(6)))
+        return (F.size(g) == 7) & F.coalesce(at, F.lit(False))
+
+    any_of = lambda label, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(label, w))
+    named = lambda label: F.when(label.isNotNull(), F.when(any_of(label, NOT_ABNORMAL), "normal").when(any_of(label, ABNORMAL_WORDS), "abnormal").otherwise("normal"))
+
+    def of(ps: Column) -> Column:
+        matched = F.transform(ps, lambda p: F.split(F.regexp_replace(p, f"(?s)^.*?{BAND}.*$", groups), MARK))
+        return F.when(F.size(ps) >= 2, let(F.get(F.filter(matched, holds), F.lit(0))[0], named))
+
+    return let(parts, of)
 
 
 def within(value: Column, c: Column) -> Column:
     """Whether a value lies in its printed range; null if there is no range to tell."""
-    text, b = F.lower(F.trim(c)), bounds(c)
-    inside = F.coalesce(value >= b["low"], F.lit(True)) & F.coalesce(value <= b["high"], F.lit(True))
-    return F.when(value.isNull() | text.isNull() | (text == ""), F.lit(None)).when(text.isin(NORMAL_WORDS), True).when(b.isNotNull(), inside).otherwise(band(value, c) == "normal")
+    inside = lambda b: F.coalesce(value >= b["low"], F.lit(True)) & F.coalesce(value <= b["high"], F.lit(True))
+    ranged = let(bounds(c), lambda b: F.when(b.isNotNull(), inside(b)).otherwise(band(value, c) == "normal"))
+    return let(F.lower(F.trim(c)), lambda text: F.when(value.isNull() | text.isNull() | (text == ""), F.lit(None)).when(text.isin(NORMAL_WORDS), True).otherwise(ranged))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labloom.functions import lab
@@ -30,8 +32,8 @@ LANES = ["structured", "trusted_pdf", "image_beta", "vlm", "manual"]
 COUNTERS = ["completed", "partial", "failed", "queued", "running", "dead_lettered"]
 PAGE_WORDS = {"price_list": ["price", "per lb", "cwt", "s. ", "d. "], "notice": ["to let", "for sale", "wanted", "apply"], "report": ["said", "reported", "yesterday", "meeting"], "shipping": ["steamer", "sailed", "arrived", "cargo"]}
 
-any_of = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
-begins = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: c.startswith(w))
+any_of = lambda c, words: c.rlike("|".join(map(re.escape, words)))
+begins = lambda c, words: c.rlike(f"^(?:{'|'.join(map(re.escape, words))})")
 sql_list = lambda words: "[" + ", ".join(map(Q, words)) + "]"
 sql_any = lambda c, words: "coalesce(" + " OR ".join(f"contains({c}, {Q(w)})" for w in words) + ", false)"
 sql_begins = lambda c, words: "coalesce(" + " OR ".join(f"starts_with({c}, {Q(w)})" for w in words) + ", false)"
