@@ -121,6 +121,48 @@ def label_value_groups(lines: DataFrame, keys: list[str], order: str) -> DataFra
     return g.select(*keys, number.alias("group"), F.concat(labels, rest).alias("lines"))
 
 
+def measurement_groups(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Lines of a page grouped into measurements without a limit on labels: keys, group, lines.
+
+    ``lines`` has ``line``, ``kind`` (value, label, continuation, index for a bare number of two digits), ``bearing`` (a number
+    stands in it), ``excluded`` and ``unit_only``. A row has its value or has none: a value gives it one, the next value or
+    label begins another row; a continuation changes nothing, an index is a value where the row has none. That is an
+    automaton of two states in which labels and indexes set the state and values turn it over, so the state before a line is
+    that of the last one to set it and the parity of the values since: two windows say it for every line.
+
+    Excluded lines in front of a row's first value are left off. Rows without a number go in front of the next row with one,
+    the nearest first, unless all of their lines are excluded; behind the last such row they are left out. A row that begins
+    with a unit alone is part of the row before.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    k = F.col("kind")
+    t = lines.select(*keys, order, "kind", "bearing", "excluded", "unit_only", "line")
+    t = t.withColumn("values", F.coalesce(F.sum((k == "value").cast("int")).over(before), F.lit(0)))
+    t = t.withColumn("set", F.last(F.when(k.isin("label", "index"), F.struct((k == "index").cast("int").alias("state"), F.col("values").alias("at"))), True).over(before))
+    full = F.coalesce((F.col("set.state") + F.col("values") - F.col("set.at")) % 2, F.col("values") % 2) == 1
+    t = t.withColumn("full", full).withColumn("row", F.sum((F.col("full") & k.isin("label", "value")).cast("int")).over(so_far))
+    # excluded lines at the head of a row that has a value
+    in_row = Window.partitionBy(*keys, "row").orderBy(order)
+    first = (k == "value") & ~F.col("full") | (k == "index") & ~F.col("full")
+    head = F.min((F.col("excluded")).cast("int")).over(in_row.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    seen = F.max(first.cast("int")).over(in_row.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    whole = Window.partitionBy(*keys, "row")
+    t = t.withColumn("trimmed", head & ~seen & (F.max(first.cast("int")).over(whole) == 1)).where(~F.col("trimmed"))
+    rows = t.groupBy(*keys, "row").agg(F.bool_or("bearing").alias("has"), F.bool_and("excluded").alias("none"), F.min_by("unit_only", order).alias("unit_first"))
+    by_row = Window.partitionBy(*keys).orderBy("row")
+    rows = rows.withColumn("target", F.first(F.when(F.col("has"), F.col("row")), True).over(by_row.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.where(F.col("target").isNotNull() & (F.col("has") | ~F.col("none")))
+    # of the rows that go together the one that comes first says whether they begin with a unit
+    heads = rows.groupBy(*keys, "target").agg(F.max_by("unit_first", F.struct((~F.col("has")).alias("label_only"), "row")).alias("unit_first"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("target"))
+    heads = heads.withColumn("starts", ((number == 1) | ~F.col("unit_first")).cast("int"))
+    heads = heads.withColumn("group", F.sum("starts").over(Window.partitionBy(*keys).orderBy("target").rowsBetween(Window.unboundedPreceding, 0)) - 1).select(*keys, "target", "group")
+    placed = t.select(*keys, order, "row", "line").join(rows.select(*keys, "row", "has", "target"), [*keys, "row"]).join(heads, [*keys, "target"])
+    entry = F.struct("target", F.col("has"), (-F.col("row")).alias("back"), F.col(order).alias("at"), "line")
+    return placed.groupBy(*keys, "group").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]).alias("lines"))
+
+
 def greedy_clusters(rows: DataFrame, keys: list[str], order: str, label: str, score: str, id_col: str) -> DataFrame:
     """In one pass over each group, in order: a row joins the first cluster a member of which overlaps it (one label holds the other); each cluster keeps its best row.
 

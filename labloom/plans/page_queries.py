@@ -10,13 +10,16 @@ from labloom.functions import lab
 from labloom.operators import folds
 from labloom.plans.aggregate_queries import BOX_SQL, boxes
 from labloom.plans.catalog import Tables, query
-from labloom.plans.relational_queries import HEADER_PREFIXES, begins
+from labloom.plans.relational_queries import HEADER_PREFIXES, begins, sql_begins
 from labloom.plans.scalar_queries import Q
 from labloom.session import checkpoint_dir
 from labloom.sources import readers, writers
 from labloom.streaming import streams
 
 
+LINES_SQL = "(SELECT doc_id, line_no, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) WHERE trim(line, ' ') <> '')"
+
+
 # --- folds --------------------------------------------------------------------------------------------------------
 def _banded(t: Tables, bands) -> DataFrame:
     d = t.documents.where("lines is not null and size(lines) > 0").select("doc_id", F.explode(bands(F.col("lines"))).alias("b"))
@@ -74,13 +77,43 @@ def seq05_overlap_clusters(t: Tables) -> DataFrame:
 
 @query()
 def seq06_seq07_label_value_groups(t: Tables) -> DataFrame:
-    """Lines of a page grouped into rows of labels and the value that follows: SEQ06 (V3); the V2 grouping of SEQ07 is absent."""
+    """Lines of a page grouped into rows of labels and the value that follows: SEQ06 (V3); SEQ07 (V2) is seq07_measurement_groups."""
     lines = readers.text_lines(t.documents, "doc_id", "text")
     low = F.lower("line")
     kind = F.when(begins(low, HEADER_PREFIXES), "excluded").when(low.rlike(r"^[\(\[]?(ref|range)\b"), "continuation").when(low.rlike("[0-9]"), "value").otherwise("label")
     return folds.label_value_groups(lines.withColumn("kind", kind), ["id"], "line_no").withColumnRenamed("id", "doc_id")
 
 
+#: Words that are a result by themselves.
+QUALITATIVE = ["positive", "negative", "reactive", "non reactive", "non-reactive", "detected", "not detected", "trace", "absent", "present"]
+BARE_UNIT, BARE_RANGE, BARE_FLAG, BARE_INDEX, ANY_NUMBER = r"^(?:%|[a-zA-Z]+/[a-zA-Z0-9/]+)$", r"^[\[(]?\s*\d[\d.,]*\s*[-–]\s*\d[\d.,]*\s*[\])]?$", r"^(?:high|low|normal|abnormal|h|l)$", r"^\d{1,2}$", r"(?:^|\s)(?:<=|>=|<|>|≤|≥)?\s*\d[\d.,]*(?:\s|$)"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, line_no, line, lower(line) AS low FROM {LINES_SQL}),
+    k AS (SELECT *, CASE WHEN regexp_matches(line, {Q(BARE_INDEX)}) THEN 'index' WHEN regexp_matches(line, {Q(BARE_UNIT)}) OR regexp_matches(line, {Q(BARE_RANGE)}) OR regexp_matches(low, {Q(BARE_FLAG)}) THEN 'continuation' WHEN regexp_matches(line, {Q(ANY_NUMBER)}) OR low IN ({', '.join(map(Q, QUALITATIVE))}) THEN 'value' ELSE 'label' END AS kind,
+      regexp_matches(line, {Q(ANY_NUMBER)}) AS bearing, {sql_begins('low', HEADER_PREFIXES)} AS excluded, regexp_matches(line, {Q(BARE_UNIT)}) AS unit_only, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM l),
+    s AS (WITH RECURSIVE r AS (SELECT doc_id, n, CASE kind WHEN 'value' THEN true WHEN 'index' THEN true ELSE false END AS full, false AS was, 0 AS grp FROM k WHERE n = 1
+      UNION ALL SELECT k.doc_id, k.n, CASE k.kind WHEN 'value' THEN NOT r.full WHEN 'index' THEN true WHEN 'label' THEN false ELSE r.full END, r.full, r.grp + CASE WHEN r.full AND k.kind IN ('label', 'value') THEN 1 ELSE 0 END FROM r JOIN k ON k.doc_id = r.doc_id AND k.n = r.n + 1) SELECT * FROM r),
+    t AS (SELECT k.*, s.grp, k.kind IN ('value', 'index') AND NOT s.was AS first FROM k JOIN s USING (doc_id, n)),
+    u AS (SELECT * FROM (SELECT *, bool_and(excluded) OVER w AND NOT bool_or(first) OVER w AND bool_or(first) OVER (PARTITION BY doc_id, grp) AS trimmed FROM t WINDOW w AS (PARTITION BY doc_id, grp ORDER BY n ROWS UNBOUNDED PRECEDING)) WHERE NOT trimmed),
+    g AS (SELECT doc_id, grp, bool_or(bearing) AS has, bool_and(excluded) AS none, arg_min(unit_only, n) AS unit_first FROM u GROUP BY 1, 2),
+    h AS (SELECT *, (SELECT min(x.grp) FROM g x WHERE x.doc_id = g.doc_id AND x.has AND x.grp >= g.grp) AS target FROM g),
+    i AS (SELECT * FROM h WHERE target IS NOT NULL AND (has OR NOT none)),
+    j AS (SELECT doc_id, target, arg_max(unit_first, (NOT has, grp)) AS unit_first FROM i GROUP BY 1, 2),
+    m AS (SELECT doc_id, target, sum(CASE WHEN rn = 1 OR NOT unit_first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY target ROWS UNBOUNDED PRECEDING) - 1 AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY target) AS rn FROM j))
+    SELECT u.doc_id, m.g::BIGINT AS "group", list(u.line ORDER BY i.target, i.has, -i.grp, u.n) AS lines FROM u JOIN i ON i.doc_id = u.doc_id AND i.grp = u.grp JOIN m ON m.doc_id = i.doc_id AND m.target = i.target GROUP BY 1, 2"""
+)
+def seq07_measurement_groups(t: Tables) -> DataFrame:
+    """Lines of a page grouped into measurements, labels carried to the next value however many there are (SEQ07, V2)."""
+    lines = readers.text_lines(t.documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
+    l, low = F.col("line"), F.lower("line")
+    continuation = l.rlike(BARE_UNIT) | l.rlike(BARE_RANGE) | low.rlike(BARE_FLAG)
+    kind = F.when(l.rlike(BARE_INDEX), "index").when(continuation, "continuation").when(l.rlike(ANY_NUMBER) | low.isin(QUALITATIVE), "value").otherwise("label")
+    told = lines.select("doc_id", "line_no", "line", kind.alias("kind"), l.rlike(ANY_NUMBER).alias("bearing"), begins(low, HEADER_PREFIXES).alias("excluded"), l.rlike(BARE_UNIT).alias("unit_only"))
+    return folds.measurement_groups(told, ["doc_id"], "line_no")
+
+
 @query(
     """WITH r AS (SELECT job_id, id, created_at, CASE WHEN raw_unit_string IS NOT NULL THEN id END AS target, raw_unit_string IS NULL AND parsed_numeric_value IS NOT NULL AS side FROM extracted_row),
     l AS (SELECT *, last_value(target IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS into_id FROM r)
@@ -100,9 +133,6 @@ def seq09_st05_rate_limit(t: Tables) -> DataFrame:
     return folds.rate_limited(t.events, "user_id", "ts", "event_id")
 
 
-LINES_SQL = "(SELECT doc_id, line_no, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) WHERE trim(line, ' ') <> '')"
-
-
 @query(
     f"""WITH l AS (SELECT *, regexp_matches(line, '[0-9]') AS v FROM {LINES_SQL}),
     g AS (SELECT *, coalesce(sum(v::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM l)
