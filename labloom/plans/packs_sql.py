@@ -43,3 +43,8 @@ a AS (SELECT record_id, pack_ord, 'pack' AS child, '' AS parent_key, b AS child_
 w AS (SELECT * EXCLUDE (v), unnest(json_keys(v)) AS name, unnest(json_extract(v, '$.*')) AS x FROM a WHERE json_type(v) = 'OBJECT' UNION ALL SELECT * EXCLUDE (v), 'value', v FROM a WHERE json_type(v) <> 'OBJECT')
 SELECT record_id, pack_ord, pack_no, child, parent_key, child_key, name, x->>'$' AS value FROM w JOIN o USING (record_id, pack_ord) WHERE json_type(x) NOT IN ('OBJECT', 'ARRAY', 'NULL')"""
 )
+
+NODES = """WITH r AS (SELECT record_id, payload::JSON AS j FROM proof_packs WHERE json_valid(payload)), n AS (SELECT r.record_id, x.key, x.type, x.atom, x.id, x.parent FROM r, json_tree(r.j) x),
+o AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY id) - 1 AS node, row_number() OVER (PARTITION BY record_id, parent ORDER BY id) - 1 AS place FROM n)
+SELECT o.record_id, o.node, p.node AS parent, CASE WHEN p.type = 'OBJECT' THEN o.key END AS key, o.place, CASE o.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' ELSE 'scalar' END AS kind, CASE WHEN o.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN o.atom->>'$' END AS value
+FROM o LEFT JOIN o p ON p.record_id = o.record_id AND p.id = o.parent"""

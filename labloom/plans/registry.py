@@ -48,4 +48,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": packs_sql.FOUND, "p1_rows": packs_sql.VALUES, "p4_found": units_sql.FOUND, "p4_canonical": units_sql.CANONICAL} | catalog.SQL
+    return {"p1_found": packs_sql.FOUND, "p1_rows": packs_sql.VALUES, "p1_nodes": packs_sql.NODES, "p4_found": units_sql.FOUND, "p4_canonical": units_sql.CANONICAL} | catalog.SQL
