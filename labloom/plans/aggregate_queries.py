@@ -9,7 +9,7 @@ from labloom.operators import relational as rel
 from labloom.plans import packs_sql
 from labloom.plans.catalog import Tables, query
 from labloom.plans.relational_queries import COUNTERS, PAGE_WORDS, QA_SQL, panels, qa_verdicts, sql_list
-from labloom.plans.scalar_queries import Q, sql_label_key
+from labloom.plans.scalar_queries import sql_label_key
 
 BY_JOB = ["job_id"]
 PANEL_SQL = """(SELECT o.*, coalesce(c.panel_key, l.panel_key, 'unclassified') AS panel FROM observation o LEFT JOIN launch_scope_rules c ON c.candidate_code = o.accepted_analyte_code

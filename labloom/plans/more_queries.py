@@ -159,13 +159,37 @@ def or04_ordered_lists(t: Tables) -> DataFrame:
     return t.observation.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("raw_analyte_label", "row_hash", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-@query("SELECT job_id, 'patient' AS artifact_type, count(*) AS views FROM proof_packs GROUP BY job_id")
+@query(
+    "SELECT job_id, CASE WHEN record_id % 3 = 0 THEN 'clinician' ELSE 'patient' END AS artifact_type, count(*) AS views, max(received_at) AS latest FROM proof_packs GROUP BY 1, 2"
+)
 def mu07_share_log(t: Tables) -> DataFrame:
-    """Each view of an artifact appended to the log, the log counted."""
+    """Each view of a patient's or clinician's artifact appended to the log as it comes, the log read by job; deliveries stand in for views."""
     path = f"{checkpoint_dir(t.spark)}/share-{uuid.uuid4().hex}"
-    views = t.proof_packs.select("job_id", F.lit("patient").alias("artifact_type"), F.col("received_at").alias("created_at"))
-    writers.append_stage(views, path)
-    return t.spark.read.parquet(path).groupBy("job_id", "artifact_type").agg(F.count("*").alias("views"))
+    views = t.proof_packs.select("job_id", F.when(F.col("record_id") % 3 == 0, "clinician").otherwise("patient").alias("artifact_type"), F.col("received_at").alias("created_at"))
+    for kind in ("patient", "clinician"):
+        writers.append_stage(views.where(F.col("artifact_type") == kind), path)
+    return t.spark.read.parquet(path).groupBy("job_id", "artifact_type").agg(F.count("*").alias("views"), F.max("created_at").alias("latest"))
+
+
+@query(
+    """WITH r AS (SELECT *, CASE WHEN raw_analyte_label IS NULL THEN 'null:raw_analyte_label' WHEN raw_text IS NULL THEN 'null:raw_text' END AS missing FROM extracted_row),
+    k AS (SELECT *, row_number() OVER (PARTITION BY job_id, row_hash ORDER BY created_at, id) AS rn FROM r WHERE missing IS NULL AND job_id IS NOT NULL AND row_hash IS NOT NULL)
+    SELECT r.id, coalesce(r.missing, CASE WHEN k.rn > 1 THEN 'duplicate_key' END) AS reject FROM r LEFT JOIN k ON k.id = r.id"""
+)
+def snk02_admitted_rows(t: Tables) -> DataFrame:
+    """Rows that a table with a key and required columns takes, and those it refuses, each with its reason: one bad row costs no other."""
+    rows = t.extracted_row.select("id", "job_id", "row_hash", "raw_analyte_label", "raw_text", "created_at")
+    good, bad = writers.admitted(rows, ["job_id", "row_hash"], ["raw_analyte_label", "raw_text"], ["created_at", "id"])
+    return good.select("id", F.lit(None).cast("string").alias("reject")).unionByName(bad.select("id", "reject"))
+
+
+@query("SELECT source_feed, count(*) AS documents FROM extracted_row WHERE source_feed IS NOT NULL GROUP BY source_feed")
+def snk07_debug_dump(t: Tables) -> DataFrame:
+    """Extracted rows dumped as JSON where both gates are open, and read again."""
+    path = f"{checkpoint_dir(t.spark)}/debug-{uuid.uuid4().hex}"
+    rows = t.extracted_row.where("source_feed is not null").select("id", "source_feed", "raw_text", "raw_value_string", "created_at")
+    writers.debug_dump(rows, path, "source_feed", debug=True, allowed=True)
+    return t.spark.read.json(path).groupBy("source_feed").agg(F.count("id").alias("documents"))
 
 
 @query(

@@ -27,8 +27,8 @@ _NUMBER = lambda c: f"try_cast({c} AS DOUBLE)"
 CHECKS = (
     PARTS
     + f""", c AS (SELECT record_id, pack_ord, key AS report_name, unnest(json_extract(value, '$.checks[*]')) AS c FROM g WHERE child = 'report'),
-n AS (SELECT record_id, pack_ord, report_name, c->>'$.metric' AS metric, {_NUMBER("c->>'$.observed'")} AS observed, {_NUMBER("c->>'$.baseline'")} AS baseline FROM c WHERE c->>'$.metric' IS NOT NULL)
-SELECT record_id, pack_ord, report_name, metric, observed - baseline AS delta, CASE WHEN observed IS NULL OR baseline IS NULL THEN 'missing' WHEN observed >= baseline THEN 'pass' ELSE 'regressed' END AS status FROM n"""
+n AS (SELECT record_id, pack_ord, report_name, c->>'$.metric' AS metric, c->>'$.observed' AS x, c->>'$.baseline' AS y, {_NUMBER("c->>'$.observed'")} AS observed, {_NUMBER("c->>'$.baseline'")} AS baseline FROM c WHERE c->>'$.metric' IS NOT NULL)
+SELECT record_id, pack_ord, report_name, metric, observed - baseline AS delta, CASE WHEN x IS NULL OR y IS NULL THEN 'missing' WHEN coalesce(observed >= baseline, x = y) THEN 'pass' ELSE 'regressed' END AS status FROM n"""
 )
 TIMINGS = (
     PARTS

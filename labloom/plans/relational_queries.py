@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from labloom.functions import lab
 from labloom.operators import relational as rel, resolution
@@ -158,7 +158,7 @@ def flt19_flt21_user_scope(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS messages, count(*) <= 30 AND sum(length(props)) <= 16000 AND max(length(props)) <= 4000 AND arg_max(event_type, (ts, event_id)) <> 'error' AS valid FROM events WHERE event_type <> 'view' GROUP BY user_id")
 def flt20_request_limits(t: Tables) -> DataFrame:
-    """Message counts and sizes per user within bounds, the last message being of the right kind."""
+    """Message counts and sizes per user within bounds, the last message being the user's; events stand in for messages, views for those of the system, which are dropped."""
     last = F.max_by("event_type", F.struct("ts", "event_id"))
     return t.events.where("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("messages"), ((F.count("*") <= 30) & (F.sum(F.length("props")) <= 16000) & (F.max(F.length("props")) <= 4000) & (last != "error")).alias("valid"))
 
@@ -333,12 +333,13 @@ def jn12_exists_flags(t: Tables) -> DataFrame:
 
 @query(packs_sql.CHECKS)
 def jn13_ag30_baselines(t: Tables) -> DataFrame:
-    """Every check of every pack against its baseline: pass, regressed or missing."""
-    from labloom.operators.nested import pack_tables
+    """Every check of every pack against its baseline: by size where both are numbers, else by equality; missing without either."""
+    from labloom.operators.nested import pack_rows
 
-    c = pack_tables(t.proof_packs)["checks"]
-    status = F.when(F.col("observed").isNull() | F.col("baseline").isNull(), "missing").when(F.col("observed") >= F.col("baseline"), "pass").otherwise("regressed")
-    return c.select("record_id", "pack_ord", "report_name", "metric", (F.col("observed") - F.col("baseline")).alias("delta"), status.alias("status"))
+    c = pack_rows(t.proof_packs).where("child = 'check'").select("record_id", "pack_ord", F.col("parent_key").alias("report_name"), F.col("child_key").alias("metric"), *[F.col("attributes")[k].alias(k) for k in ("observed", "baseline")])
+    o, b = F.col("observed").try_cast("double"), F.col("baseline").try_cast("double")
+    status = F.when(F.col("observed").isNull() | F.col("baseline").isNull(), "missing").when(F.coalesce(o >= b, F.col("observed") == F.col("baseline")), "pass").otherwise("regressed")
+    return c.select("record_id", "pack_ord", "report_name", "metric", (o - b).alias("delta"), status.alias("status"))
 
 
 @query(
@@ -361,6 +362,22 @@ def jn15_surfaced_tokens(t: Tables) -> DataFrame:
     return t.observation.where(any_of(low, LEAK_TOKENS)).select("id", F.filter(F.array(*map(F.lit, LEAK_TOKENS)), lambda w: F.contains(low, w)).alias("leaks"))
 
 
+#: What is expected of some sources whatever the file says.
+OVERRIDES = {"feed_01": "manual", "feed_03": "structured"}
+
+
+@query(
+    f"""WITH d AS (SELECT input_checksum, arg_min(lane_type, (created_at, id)) AS lane FROM jobs GROUP BY input_checksum)
+    SELECT j.id, coalesce({sql_map(OVERRIDES)}[j.source_feed], d.lane) AS expected, coalesce({sql_map(OVERRIDES)}[j.source_feed], d.lane) = j.lane_type AS met FROM jobs j LEFT JOIN d ON d.input_checksum = j.input_checksum"""
+)
+def jn17_expectations(t: Tables) -> DataFrame:
+    """What is expected of each job: by its source where that has an expectation of its own, else by the first job of the same file."""
+    first = t.jobs.groupBy("input_checksum").agg(F.min_by("lane_type", F.struct("created_at", "id")).alias("lane"))
+    own = F.create_map(*[F.lit(x) for kv in OVERRIDES.items() for x in kv])[F.col("source_feed")]
+    j = t.jobs.join(first, "input_checksum", "left").withColumn("expected", F.coalesce(own, F.col("lane")))
+    return j.select("id", "expected", (F.col("expected") == F.col("lane_type")).alias("met"))
+
+
 @query("SELECT r.input_checksum, count(*) AS jobs, list_sort(list(DISTINCT lane_type)) AS lanes, count(DISTINCT lane_type) > 1 AS conflict FROM jobs r GROUP BY r.input_checksum")
 def jn17_ag19_by_checksum(t: Tables) -> DataFrame:
     """Jobs by checksum, with the lanes they took and whether those differ."""

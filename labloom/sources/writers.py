@@ -46,3 +46,27 @@ def markdown_report(df: DataFrame, group: str, item: str) -> DataFrame:
     """A Markdown section for each group: heading and list, items in order. One row for each group: group, section."""
     items = F.array_join(F.transform(F.array_sort(F.collect_set(F.col(item))), lambda x: F.concat(F.lit("- "), x)), "\n")
     return df.groupBy(group).agg(F.concat(F.lit("## "), F.first(group), F.lit("\n"), items).alias("section"))
+
+
+def admitted(df: DataFrame, unique: list[str], required: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows a table may take, and those it must refuse with the reason: what a bulk write that fails and is tried row by row leaves.
+
+    A row is refused for its first required column that is null ('null:column') or for a key that an earlier row, by
+    ``order``, has ('duplicate_key'); a null in a unique column is no key. The first of each key is found by aggregation, so a
+    frequent key is combined before the shuffle.
+    """
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"null:{c}")) for c in required], F.lit(None).cast("string")) if required else F.lit(None).cast("string")
+    rows = df.withColumn("_missing", missing).withColumn("_at", F.struct(*order))
+    keyed = F.lit(True)
+    for c in unique:
+        keyed = keyed & F.col(c).isNotNull()
+    first = rows.where(keyed & F.col("_missing").isNull()).groupBy(*unique).agg(F.min("_at").alias("_first"))
+    marked = rows.join(first, unique, "left").withColumn("reject", F.when(F.col("_missing").isNotNull(), F.col("_missing")).when(F.col("_first").isNotNull() & (F.col("_at") != F.col("_first")), "duplicate_key"))
+    return marked.where("reject is null").select(df.columns), marked.where("reject is not null").select(*df.columns, "reject")
+
+
+def debug_dump(df: DataFrame, path: str, partition: str, *, debug: bool, allowed: bool) -> bool:
+    """Rows as JSON documents, a folder for each value of ``partition``, only where both gates are open; says whether it wrote."""
+    if debug and allowed:
+        write_documents(df, path, partition)
+    return debug and allowed
