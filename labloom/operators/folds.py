@@ -173,13 +173,25 @@ def greedy_clusters(rows: DataFrame, keys: list[str], order: str, label: str, sc
     def run(table):
         data = sorted(zip(*(table.column(c).to_pylist() for c in (order, id_col, label, score)), strict=True), key=lambda r: (r[0], r[1]))
         used, out = set(), []
-        for i, row in enumerate(data):
+        for i in range(len(data)):
             if i in used:
                 continue
-            members = [i]
+            # labels are compared once, however many rows bear them: those of the members, and up to where another was held against them
+            members, labels, seen, held = [i], [data[i][2]], {data[i][2]}, {}
             for j in range(i + 1, len(data)):
-                if j not in used and any(_overlap(data[m][2], data[j][2]) for m in members):
-                    members.append(j)
+                if j in used:
+                    continue
+                text = data[j][2]
+                if text not in seen or not text:
+                    at = held.get(text, 0)
+                    while at < len(labels) and not _overlap(labels[at], text):
+                        at += 1
+                    held[text] = at
+                    if at == len(labels):
+                        continue
+                    seen.add(text)
+                    labels.append(text)
+                members.append(j)
             best = max(members, key=lambda m: (data[m][3], -m))
             out += [(data[m][1], data[best][1]) for m in members]
             used.update(members)

@@ -39,8 +39,26 @@ def best_or_abstain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_rank", "_n")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: Sequence[str], name: str = "island") -> DataFrame:
-    """Numbers the runs of rows with equal ``same`` columns within each key, in order, from 0."""
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: Sequence[str], name: str = "island", block: Column | None = None) -> DataFrame:
+    """Numbers the runs of rows with equal ``same`` columns within each key, in order, from 0.
+
+    ``block``, which must not fall in that order (a month of its first column, say), splits a frequent key: runs are numbered
+    within blocks, and what the blocks before hold comes from one row for each block.
+    """
+    if block is not None:
+        t = islands(df.withColumn("_block", block), [*keys, "_block"], order, same, "_inner")
+        at = F.struct(*order)
+        of = F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(same)])
+        blocks = t.groupBy(*keys, "_block").agg(F.min_by(of, at).alias("_first"), F.max_by(of, at).alias("_last"), F.max("_inner").alias("_runs"))
+        w = Window.partitionBy(*keys).orderBy("_block")
+        parted = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.col("_first").eqNullSafe(F.lag("_last").over(w))).cast("int"))
+        blocks = blocks.withColumn("_step", parted + F.coalesce(F.lag("_runs").over(w), F.lit(0)))
+        blocks = blocks.withColumn("_base", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        b = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), "_base")
+        on = F.col("_block").eqNullSafe(F.col("_kb"))
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return t.join(b, on).withColumn(name, F.col("_base") + F.col("_inner")).drop("_block", "_inner", "_kb", "_base", *[f"_k{i}" for i in range(len(keys))])
     w = Window.partitionBy(*keys).orderBy(*order)
     changed = F.lit(False)
     for c in same:

@@ -263,9 +263,9 @@ def wn07_first_of_hash(t: Tables) -> DataFrame:
     SELECT source, island::BIGINT AS island, kind, count(*) AS pages, substr(sha256(source || ':' || kind || ':' || string_agg(doc_id::VARCHAR, ',' ORDER BY issue_date, page_no, doc_id)), 1, 16) AS group_id FROM g GROUP BY source, island, kind"""
 )
 def wn08_page_groups(t: Tables) -> DataFrame:
-    """Runs of pages of one kind within a paper, each with an id made of its pages."""
+    """Runs of pages of one kind within a paper, each with an id made of its pages. A paper is numbered month by month."""
     p = t.documents.select("doc_id", "source", "issue_date", "page_no", F.coalesce("n_columns", F.lit(0)).alias("kind")).where("source is not null")
-    g = rel.islands(p, ["source"], ["issue_date", "page_no", "doc_id"], ["kind"])
+    g = rel.islands(p, ["source"], ["issue_date", "page_no", "doc_id"], ["kind"], block=F.date_trunc("month", "issue_date"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("issue_date", "page_no", "doc_id"))), lambda s: s["doc_id"].cast("string")), ",")
     g = g.groupBy("source", "island", "kind").agg(F.count("*").alias("pages"), ids.alias("ids"))
     return g.select("source", F.col("island").cast("bigint").alias("island"), "kind", "pages", F.substring(F.sha2(F.concat_ws(":", "source", F.col("kind").cast("string"), "ids"), 256), 1, 16).alias("group_id"))

@@ -190,3 +190,86 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 100
     streams.each_batch_to_end(streams.windowed(src(), "ts", ["kind"], "10 minutes", "5 minutes"), str(tmp_path / "c3"), lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "o3")), "complete")
     assert spark.read.parquet(str(tmp_path / "o3")).agg(F.sum("n")).first()[0] == 200
+
+
+def test_islands_in_blocks(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.randrange(100) if rng.random() < 0.95 else None, i, rng.choice([1, 2, None])) for i in range(1500)]
+    df = spark.createDataFrame(data, "k string, o int, i int, s int")
+    whole = rel.islands(df, ["k"], ["o", "i"], ["s"]).select("i", "island").collect()
+    parts = rel.islands(df, ["k"], ["o", "i"], ["s"], block=F.floor(F.col("o") / 10)).select("i", "island").collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+
+
+def test_holding_texts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("ab%.", k=rng.randrange(0, 7)))
+    a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+    got = {tuple(r) for r in rel.holding(spark.createDataFrame([(x,) for x in a], "i string"), "i", spark.createDataFrame([(x,) for x in b], "o string"), "o").collect()}
+    assert got == {(x, y) for x in a for y in b if x and x in y}
+
+
+def test_clusters_against_brute_force(spark):
+    rng = random.Random(3)
+    data = [(k, rng.randrange(50), i, "".join(rng.choices("ab", k=rng.randrange(0, 5))) or None, rng.randrange(5)) for k in range(12) for i in range(k * 100, k * 100 + 30)]
+    want = []
+    for k in range(12):
+        rows, used = sorted((r[1:] for r in data if r[0] == k), key=lambda r: (r[0], r[1])), set()
+        for i in range(len(rows)):
+            if i in used:
+                continue
+            members = [i]
+            for j in range(i + 1, len(rows)):
+                if j not in used and any(rows[m][2] and rows[j][2] and (rows[m][2] in rows[j][2] or rows[j][2] in rows[m][2]) for m in members):
+                    members.append(j)
+            best = max(members, key=lambda m: (rows[m][3], -m))
+            want += [(rows[m][1], rows[best][1]) for m in members]
+            used.update(members)
+    got = folds.greedy_clusters(spark.createDataFrame(data, "k int, o int, id int, l string, s int"), ["k"], "o", "l", "s", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def grouped(lines):
+    """measurement_groups of one page by an automaton: lines are (text, kind, bearing, excluded, unit_only)."""
+    groups, now, full = [], [], False
+    for x in lines:
+        kind = x[1]
+        if kind == "index":
+            kind = "continuation" if full else "value"
+        if kind == "value" and not full:
+            while now and now[0][3]:
+                now.pop(0)
+            now.append(x)
+            full = True
+        elif kind == "continuation":
+            now.append(x)
+        elif full:
+            groups.append(now)
+            now, full = [x], False
+        else:
+            now.append(x)
+    groups = [g for g in [*groups, now] if g]
+    merged, front = [], []
+    for g in groups:
+        if any(x[2] for x in g):
+            merged.append([*front, *g])
+            front = []
+        elif not all(x[3] for x in g):
+            front = [*g, *front]
+    out = []
+    for g in merged:
+        if out and g[0][4]:
+            out[-1] += g
+        else:
+            out.append(list(g))
+    return [[x[0] for x in g] for g in out]
+
+
+def test_measurement_groups_against_an_automaton(spark):
+    rng = random.Random(8)
+    pages = {p: [(f"{p}-{i}", rng.choice(["value", "label", "label", "continuation", "index"]), rng.random() < 0.6, rng.random() < 0.25, rng.random() < 0.2) for i in range(rng.randrange(0, 14))] for p in range(150)}
+    df = spark.createDataFrame([(p, i, *x) for p, lines in pages.items() for i, x in enumerate(lines)], "page int, n int, line string, kind string, bearing boolean, excluded boolean, unit_only boolean")
+    got = {}
+    for r in folds.measurement_groups(df, ["page"], "n").orderBy("page", "group").collect():
+        got.setdefault(r.page, []).append(list(r.lines))
+    assert got == {p: g for p, lines in pages.items() if (g := grouped(lines))}
