@@ -49,8 +49,8 @@ WHOLE = {
 }
 
 
-def spellings(code: str) -> set[str]:
-    """Spellings of a unit code, by rule, in lower case; plurals, endings and typing errors aren't listed."""
+def basic_spellings(code: str) -> set[str]:
+    """Spellings of a unit code, by rule, in lower case, that others are compared with; plurals, endings and typing errors aren't listed."""
     out = {code.lower(), *WHOLE.get(code, [])}
     if m := re.fullmatch(r"(k|m|u|n|p|)(g|mol|U|kat|\[IU\])/(L|dL|mL)", code):
         out |= {p + b + d for p, b, d in product(PREFIXES[m[1]], BASES[m[2]], PER[m[3]]) if d != "%" or m[2] == "g"}
@@ -62,10 +62,10 @@ def spellings(code: str) -> set[str]:
     return out
 
 
-def written_forms(code: str) -> set[str]:
-    """The spellings of a unit code with what running text makes of them: 'per' for the stroke, plurals, endings in -er."""
+def spellings(code: str) -> set[str]:
+    """All spellings of a unit code, by rule: the basic ones with what running text makes of them, 'per' for the stroke, plurals, endings in -er."""
     out = set()
-    for s in spellings(code):
+    for s in basic_spellings(code):
         for t in {s, re.sub("^/", "per ", s).replace("/", " per ")}:
             for u in {t, re.sub(r"(?<=[a-z])([a-z]{2,}|g|gm)(?= per |[/%]| [dm]?l-1|$)|^(gm?)(?= per |/)", r"\g<0>s", t, count=1)}:
                 out |= {v for w in (u, re.sub("^milli(?!m|l)", "milli-", u)) for v in (w, re.sub("(lit|met)re", r"\1er", w))}
@@ -210,7 +210,7 @@ def alias_dictionary(spark: SparkSession, found: DataFrame, codes: list[str]) ->
     Keys that fit no code give no row. Exact spellings have distance 0 and are taken alone. The inverted index has character
     n-grams of every spelling: bigrams for short keys, trigrams for the others; spellings that share half of them (Dice) are verified.
     """
-    known = sorted({(_key(s), c) for c in codes for s in spellings(c)})
+    known = sorted({(_key(s), c) for c in codes for s in basic_spellings(c)})
     by_spelling = spark.createDataFrame(known, "spelling string, code string")
     exact = found.join(F.broadcast(by_spelling.withColumnRenamed("spelling", "key")), "key").select("key", "code", F.lit(0.0).alias("distance"), F.col("key").alias("spelling"))
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) + 3 - n, F.lit(1))), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, F.lit(n))))
