@@ -5,15 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from labloom.functions import lab
+from labloom.operators import routes
 from labloom.plans.catalog import Tables, query
-from labloom.plans.relational_queries import sql_list
-
-#: Keywords of document routes.
-ROUTES = {
-    "lab": ["glucose", "hba1c", "creatinine", "cholesterol", "hemoglobin", "wbc", "platelet", "triglyceride", "ldl", "hdl", "reference range", "analyte", "result", "unit"],
-    "interpreted_summary": ["impression", "assessment", "recommendation", "clinical summary", "interpretation", "executive summary", "health report", "summary report", "action plan"],
-    "non_lab_medical": ["ultrasound", "mri", "ct scan", "x-ray", "radiology", "echocardiogram", "pathology report", "pathology", "histopathology", "specimen", "gross description", "microscopic", "final diagnosis", "medical report"],
-}
 
 LINES = "string_split(coalesce(text, ''), chr(10))"
 
@@ -50,24 +43,24 @@ def dm19_cards(t: Tables) -> DataFrame:
     return o.select("id", lab.html_escape(F.coalesce("accepted_analyte_display", "raw_analyte_label")).alias("title"), v.alias("value"), F.coalesce("canonical_unit", "raw_unit_string", F.lit("")).alias("unit"))
 
 
-_SCORES = ", ".join(f"list_count(list_filter({sql_list(w)}, lambda k: contains(x, k)))::INT AS {n}" for n, w in ROUTES.items())
+_TEXT = "lower(regexp_replace(coalesce(raw_text, ''), '\\s+', ' ', 'g'))"
+_SCORES = ", ".join("(" + " + ".join(f"max(contains(x, '{w}')::INT)" for w in ws) + f")::INT AS {kind}" for kind, ws in routes.KEYWORDS.items())
 
 
 @query(
-    f"""WITH d AS (SELECT document_id, lower(string_agg(coalesce(raw_text, ''), ' ' ORDER BY id)) AS x FROM extracted_row GROUP BY document_id), s AS (SELECT document_id, {_SCORES} FROM d)
-    SELECT document_id, lab, interpreted_summary, non_lab_medical, CASE WHEN greatest(lab, interpreted_summary, non_lab_medical) = 0 THEN 'unsupported' WHEN lab >= interpreted_summary AND lab >= non_lab_medical THEN 'trusted_pdf_lab' WHEN interpreted_summary >= non_lab_medical THEN 'interpreted_summary' ELSE 'non_lab_medical' END AS route,
-      round(least(1.0, greatest(0.0, greatest(lab, interpreted_summary, non_lab_medical) / greatest(lab + interpreted_summary + non_lab_medical, 1))), 3) AS confidence FROM s"""
+    f"""WITH l AS (SELECT *, {_TEXT} AS x FROM extracted_row WHERE document_id IS NOT NULL), s AS (SELECT document_id, {_SCORES}, coalesce(max(source_page), 0) AS pages, coalesce(avg(extraction_confidence), 0.0) AS extractability, sum(length(coalesce(raw_text, '')))::BIGINT AS chars FROM l GROUP BY document_id),
+    d AS (SELECT s.*, 1 - extractability AS density, CASE WHEN j.lane_type = 'image_beta' AND j.retry_count > 0 THEN '.png' ELSE '.pdf' END AS extension, j.lane_type NOT IN ('image_beta', 'vlm') AS has_text, j.lane_type <> 'structured' AS has_image, j.dead_letter AS protected, j.status = 'failed' AS corrupt FROM s JOIN jobs j USING (document_id))
+    SELECT document_id, {routes.case(0)} AS lane, {routes.case(1)} AS document_class, round(least(1.0, {routes.case(3, False)}), 3) AS confidence, {routes.case(4)} AS reason FROM d"""
 )
 def dm21_dm22_route(t: Tables) -> DataFrame:
-    """The route of a document by keyword scores, and how sure it is. Keywords are counted per document without gathering its text."""
-    words = [(n, k) for n, ks in ROUTES.items() for k in ks]
-    low = F.lower(F.coalesce("raw_text", F.lit("")))
-    d = t.extracted_row.groupBy("document_id").agg(*[F.max(F.contains(low, F.lit(k)).cast("int")).alias(f"k{i}") for i, (_, k) in enumerate(words)])
-    score = {n: sum((F.col(f"k{i}") for i, (m, _) in enumerate(words) if m == n), F.lit(0)) for n in ROUTES}
-    s = d.select("document_id", *[c.cast("int").alias(n) for n, c in score.items()])
-    top, lab_, sm, non = F.greatest(*ROUTES), F.col("lab"), F.col("interpreted_summary"), F.col("non_lab_medical")
-    route = F.when(top == 0, "unsupported").when((lab_ >= sm) & (lab_ >= non), "trusted_pdf_lab").when(sm >= non, "interpreted_summary").otherwise("non_lab_medical")
-    return s.select("document_id", *ROUTES, route.alias("route"), F.round(F.least(F.lit(1.0), top / F.greatest(lab_ + sm + non, F.lit(1))), 3).alias("confidence"))
+    """The route of each document and how sure it is, by keyword scores and structure; its job stands in for the file's layers."""
+    lines = t.extracted_row.where("document_id is not null")
+    e = F.coalesce(F.avg("extraction_confidence"), F.lit(0.0))
+    whole = lines.groupBy("document_id").agg(F.coalesce(F.max("source_page"), F.lit(0)).alias("pages"), e.alias("extractability"), F.sum(F.length(F.coalesce("raw_text", F.lit("")))).alias("chars"))
+    lane = F.col("lane_type")
+    j = t.jobs.select("document_id", F.when((lane == "image_beta") & (F.col("retry_count") > 0), ".png").otherwise(".pdf").alias("extension"), (~lane.isin("image_beta", "vlm")).alias("has_text"), (lane != "structured").alias("has_image"), F.col("dead_letter").alias("protected"), (F.col("status") == "failed").alias("corrupt"))
+    d = routes.scores(lines, "document_id", "raw_text").join(whole, "document_id").join(j, "document_id").withColumn("density", 1 - F.col("extractability"))
+    return routes.decided(d).select("document_id", "lane", "document_class", "confidence", "reason")
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labloom.functions import lab
-from labloom.operators import evidence as ev, resolution
+from labloom.operators import evidence as ev, resolution, routes
 from labloom.sources import readers, writers
 
 NAMES = [("GLU-1", "glucose", 1, ["mg/dl"], "glucose"), ("GLU-2", "glucose", 2, ["mmol/l"], "glucose"), ("HB", "hemoglobin", 3, [], "hemoglobin"), ("HB", "hemoglobin", 3, [], "red pigment"), ("X1", "first", 4, [], "shared word"), ("X2", "second", 5, [], "word shared"), ("X3", "third", 6, [], "hemoglobin")]
@@ -96,3 +96,24 @@ def test_debug_dump_needs_both_gates(spark, tmp_path):
     df = spark.createDataFrame([(1, "f")], "i int, feed string")
     assert not writers.debug_dump(df, str(tmp_path / "d"), "feed", debug=True, allowed=False) and not (tmp_path / "d").exists()
     assert writers.debug_dump(df, str(tmp_path / "d"), "feed", debug=True, allowed=True) and (tmp_path / "d").exists()
+
+
+def test_every_route_is_reached(spark):
+    base = {"lab": 0, "summary": 0, "non_lab": 0, "composite": 0, "high": 0, "admin": 0, "health": 0, "extension": ".pdf", "pages": 2, "density": 0.1, "extractability": 0.9, "has_text": True, "has_image": False, "chars": 1000, "protected": False, "corrupt": False}
+    scanned = {"has_text": False, "has_image": True, "chars": 10}
+    changes = [
+        {"protected": True, "corrupt": True}, {"pages": 0}, {"non_lab": 3, "lab": 2, "summary": 1}, {"summary": 2, "lab": 1}, {"summary": 2, "lab": 2, "health": 1, "pages": 10}, {"lab": 2, "high": 1, **scanned}, {"lab": 2, "composite": 2},
+        {"extension": ".png"}, {"chars": 0, "has_text": False}, {"lab": 1, **scanned}, {"lab": 1}, scanned, {}, {"chars": 10},
+    ]
+    rows = [(i, *(base | c).values()) for i, c in enumerate(changes)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{k} {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'int'}" for k, v in base.items()))
+    got = {r.i: (r.lane, r.document_class, r.reason) for r in routes.decided(df).collect()}
+    assert got == {i: (d[0], d[1], d[4]) for i, d in enumerate(routes.DECISIONS)}
+    conf = {r.i: r.confidence for r in routes.decided(df).collect()}
+    assert conf[0] == 1.0 and conf[2] == 0.5 and conf[7] == 0.95 and conf[8] == 0.0 and conf[6] == 1.0
+
+
+def test_route_scores(spark):
+    df = spark.createDataFrame([(1, "Glucose  RESULT"), (1, "clinical\nsummary"), (1, None), (2, "")], "d int, t string")
+    got = {r.d: (r.lab, r.summary, r.admin) for r in routes.scores(df, "d", "t").collect()}
+    assert got == {1: (2, 1, 0), 2: (0, 0, 0)}
