@@ -193,7 +193,15 @@ def src05_structured_rows(t: Tables) -> DataFrame:
     return readers.structured_rows(payload, "job_id", "payload").select("id", "index", "row.row_hash", "row.raw_analyte_label", "error")
 
 
-@query()
+_CLEANED = r"regexp_replace(regexp_replace(regexp_replace(trim(payload, ' '), '^```(?:json)?\s*', ''), '```\s*$', ''), ',\s*([}\]])', '\1', 'g')"
+_PIECES = f"list_filter(regexp_extract_all(cleaned, {Q(r'(?s)(\{[^{}]*?"metric"[^{}]*?\})')}, 1), lambda p: json_valid(p))"
+_ROWS = lambda j: f"CASE WHEN json_type({j}::JSON, '$.rows') = 'ARRAY' THEN json_array_length({j}::JSON, '$.rows') ELSE 1 END"
+
+
+@query(
+    f"""WITH c AS (SELECT record_id, payload, {_CLEANED} AS cleaned FROM proof_packs WHERE payload IS NOT NULL), p AS (SELECT *, {_PIECES} AS pieces FROM c)
+    SELECT record_id AS id, CASE WHEN json_valid(payload) THEN 'strict' WHEN json_valid(cleaned) THEN 'repaired' WHEN len(pieces) > 0 THEN 'harvested' ELSE 'lost' END AS how, (CASE WHEN json_valid(payload) THEN {_ROWS('payload')} WHEN json_valid(cleaned) THEN {_ROWS('cleaned')} ELSE len(pieces) END)::INT AS objects FROM p"""
+)
 def src12_lenient_json(t: Tables) -> DataFrame:
     """What can be recovered of payloads that may be damaged."""
     return readers.lenient_objects(t.proof_packs.where("payload is not null"), "record_id", "payload", "metric").select("id", "how", F.size("objects").alias("objects"))

@@ -57,7 +57,14 @@ def sc06_alias_variants(t: Tables) -> DataFrame:
     return a.select("candidate_code", F.explode(lab.alias_variants(F.col("alias"))).alias("variant")).distinct()
 
 
-@query()
+_ASCII_LOW = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIRST, _NEXT = _ASCII_LOW("array_to_string(w[1:n], ' ')"), _ASCII_LOW("array_to_string(w[n + 1:2 * n], ' ')")
+
+
+@query(
+    f"""WITH s AS (SELECT id, string_split({sql_collapse('raw_analyte_label')}, ' ') AS w FROM observation), r AS (SELECT id, w, list_filter(range(1, len(w) // 2 + 1), lambda n: {_FIRST} = {_NEXT})[1] AS n FROM s)
+    SELECT id, CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_concat(w[1:n], w[2 * n + 1:len(w)]), ' ') END AS label FROM r"""
+)
 def sc07_collapse_repeats(t: Tables) -> DataFrame:
     """A label that begins with the same words twice keeps them once."""
     return t.observation.select("id", F.regexp_replace(lab.collapse(F.col("raw_analyte_label")), r"(?i)^(.+?) \1(?= |$)", "$1").alias("label"))
