@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -75,7 +76,21 @@ def seq05_overlap_clusters(t: Tables) -> DataFrame:
     return folds.greedy_clusters(rows.where("k <> ''"), ["document_id", "source_page"], "created_at", "k", "score", "id")
 
 
-@query()
+_LOW = lambda x: f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' '))"
+_HELD = lambda x, words: f"regexp_matches({x}, {Q('|'.join(map(re.escape, words)))})"
+_HEADING = f"(NOT regexp_matches({_LOW('x')}, '[0-9]') AND ({_HELD(_LOW('x'), folds.HEADINGS)} OR (x = upper(x) AND regexp_matches(x, '[A-Z]') AND len(string_split({_LOW('x')}, ' ')) <= 6)))"
+
+
+@query(
+    f"""WITH k AS (SELECT doc_id, line_no, line, CASE WHEN {sql_begins('lower(line)', HEADER_PREFIXES)} THEN 'excluded' WHEN regexp_matches(lower(line), '^[\\(\\[]?(ref|range)(?:$|[^\\p{{L}}\\p{{N}}_])') THEN 'continuation' WHEN regexp_matches(line, '[0-9]') THEN 'value' ELSE 'label' END AS kind FROM {LINES_SQL}),
+    p AS (SELECT * FROM (SELECT *, coalesce(sum((kind = 'excluded')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM k) WHERE kind <> 'excluded'),
+    h AS (SELECT * REPLACE (CASE WHEN kind = 'value' AND held = 'value' AND regexp_matches({_LOW('line')}, {Q(folds.BESIDE)}) THEN 'continuation' ELSE kind END AS kind) FROM (SELECT *, coalesce(last_value(nullif(kind, 'continuation') IGNORE NULLS) OVER (PARTITION BY doc_id, part ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'label') AS held FROM p)),
+    v AS (SELECT *, coalesce(sum((kind = 'value')::INT) OVER w, 0) - CASE WHEN kind = 'continuation' AND coalesce(last_value(nullif(kind, 'continuation') IGNORE NULLS) OVER w, 'label') = 'value' THEN 1 ELSE 0 END AS r FROM h WINDOW w AS (PARTITION BY doc_id, part ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT doc_id, part, r, list(line ORDER BY line_no) AS ls, list_position(list(kind ORDER BY line_no), 'value') AS v FROM v GROUP BY 1, 2, 3),
+    f AS (SELECT *, ls[1:v - 1] AS front, array_to_string(list_transform(ls[1:v - 1], lambda x: {_LOW('x')}), ' ') AS text FROM g WHERE v > 0),
+    j AS (SELECT *, len(front) BETWEEN 1 AND 3 AND len(string_split(text, ' ')) <= 10 AND regexp_matches(text, '\\p{{L}}') AND len(list_filter(front, lambda x: ends_with({_LOW('x')}, ':'))) = 0 AND NOT {_HELD('text', folds.NOT_JOINED)} AS joined, list_position(list_transform(front, lambda x: NOT {_HEADING}), true) AS begins_at FROM f)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, r) - 1)::INT AS "group", list_concat(CASE WHEN joined AND begins_at > 0 THEN front[begins_at:] ELSE [] END, ls[v:]) AS lines FROM j"""
+)
 def seq06_seq07_label_value_groups(t: Tables) -> DataFrame:
     """Lines of a page grouped into rows of labels and the value that follows: SEQ06 (V3); SEQ07 (V2) is seq07_measurement_groups."""
     lines = readers.text_lines(t.documents, "doc_id", "text")
