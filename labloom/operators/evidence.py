@@ -102,3 +102,31 @@ def arbitration(text: Column, value: Column, number: Column, unit: Column, refer
     words = F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
     noise = ~said(value) & number.isNull() & ((x == "") | ((words == 1) & (F.length(x) <= 2)) | holds(x, CITATIONS))
     return F.when(holds(x, SHADOWS) & ~(said(unit) & said(reference)), "threshold_shadow").when(noise, "label_noise").when(words > MOST_TOKENS, "giant_hybrid_row")
+
+
+#: Keywords of blocks that bear no results.
+ADMIN = ["dob", "mrn", "accession", "patient id", "ordered by", "collected", "received", "address"]
+HEADER_FOOTER = ["page ", "report printed", "confidential", "end of report"]
+ROLES = ["result_block", "threshold_block", "admin_block", "narrative_block", "header_footer_block"]
+
+
+def role_scores(x: Column) -> Column:
+    """How much speaks for each of ROLES: for results a value, a unit or reference, and a label; for the others their keywords."""
+    result = x.rlike(VALUE).cast("int") + like_unit(x).cast("int") + like_label(x).cast("int")
+    return F.array(F.when(x.rlike(VALUE), result).otherwise(0), hits(x, THRESHOLDS), hits(x, ADMIN), hits(x, NARRATIVE), hits(x, HEADER_FOOTER))
+
+
+def block_route(x: Column, scores: Column, threshold_density: Column) -> Column:
+    """What becomes of a block: 'parsed', 'empty', or 'excluded:' with the reason, by the first rule that holds.
+
+    A block whose best role is shared is ambiguous; blocks of other roles than results are excluded under their role; a block that
+    nothing speaks for must read like results; what is left must not be a threshold, a note or a citation.
+    """
+    top = F.array_max(scores)
+    shared = F.size(F.filter(scores, lambda s: s == top)) > 1
+    role = F.when(top > 0, F.get(F.array(*map(F.lit, ROLES)), (F.array_position(scores, top) - 1).cast("int")))
+    excluded = lambda reason: F.concat(F.lit("excluded:"), reason if isinstance(reason, Column) else F.lit(reason))
+    return (
+        F.when(x == "", "empty").when((top > 0) & shared, excluded("ambiguous_block_classification")).when(role != "result_block", excluded(role)).when(role.isNull() & ~result_like(x, threshold_density), excluded("unknown_block_non_result"))
+        .when(suppressed_before_parsing(x), excluded("preparse_threshold_note_citation_row")).otherwise("parsed")
+    )

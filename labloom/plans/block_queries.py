@@ -63,18 +63,6 @@ def dm21_dm22_route(t: Tables) -> DataFrame:
     return routes.decided(d).select("document_id", "lane", "document_class", "confidence", "reason")
 
 
-@query(
-    f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS x, generate_subscripts({LINES}, 1) AS i, len({LINES}) AS n FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN (i - 0.5) / n <= 0.05 THEN 'header' WHEN (i - 0.5) / n >= 0.95 THEN 'footer' WHEN regexp_matches(x, '[0-9]') THEN 'result' ELSE 'narrative' END AS route, count(*) AS lines FROM l GROUP BY 1, 2"""
-)
-def dm32_block_routes(t: Tables) -> DataFrame:
-    """Where the lines of a page go, counted."""
-    l = t.documents.where("text is not null").select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "x"))
-    spot = (F.col("i") + 0.5) / F.col("n")
-    route = F.when(F.trim("x") == "", "empty").when(spot <= 0.05, "header").when(spot >= 0.95, "footer").when(F.col("x").rlike("[0-9]"), "result").otherwise("narrative")
-    return l.groupBy("doc_id", route.alias("route")).agg(F.count("*").alias("lines"))
-
-
 @query(
     """SELECT id, try_cast(replace(CASE WHEN regexp_matches(raw_value_string, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN raw_value_string END, ',', '') AS DOUBLE) AS strict, try_cast(CASE WHEN regexp_matches(replace(raw_value_string, ',', ''), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN replace(raw_value_string, ',', '') END AS DOUBLE) AS without_commas,
     coalesce(parsed_numeric_value, try_cast(CASE WHEN regexp_matches(raw_value_string, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN raw_value_string END AS DOUBLE)) AS first_of FROM extracted_row"""

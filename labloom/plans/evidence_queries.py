@@ -38,6 +38,25 @@ def flt13_flt14_flt15_lines(t: Tables) -> DataFrame:
     return l.select("id", ev.suppressed_before_parsing(F.col("x")).alias("suppressed"), ev.result_like(F.col("x"), thresholds).alias("result_like"), ev.heading_only(F.col("raw_text")).alias("heading"))
 
 
+_SUPPRESSED = f"({_HITS(ev.RISK_MARKERS)} > 0 OR {_HITS(ev.NOTE_MARKERS)} > 0 OR {_HITS(ev.CITATIONS)} > 0) AND NOT ({_VALUE} AND {_LABEL} AND {_UNIT} AND {_DENSITY(ev.CITATIONS)} < 0.12 AND {_DENSITY(ev.NARRATIVE)} < 0.2)"
+_LIKE = f"{_HITS(ev.NON_RESULT)} = 0 AND {_VALUE} AND {_LABEL} AND {_UNIT} AND {_NUMBERS} >= 0.08 AND {_DENSITY(ev.NARRATIVE)} < 0.08 AND {_DENSITY(ev.THRESHOLDS)} < 0.08 AND {_DENSITY(ev.CITATIONS)} < 0.06"
+
+
+@query(
+    f"""WITH l AS (SELECT id, lower({_SPACED('x')}) AS x FROM (SELECT id, unnest([raw_text, raw_analyte_label, raw_reference_range]) AS x FROM observation)),
+    s AS (SELECT *, [CASE WHEN {_VALUE} THEN 1 + {_UNIT}::INT + ({_LABEL})::INT ELSE 0 END, {_HITS(ev.THRESHOLDS)}, {_HITS(ev.ADMIN)}, {_HITS(ev.NARRATIVE)}, {_HITS(ev.HEADER_FOOTER)}] AS sc FROM l),
+    t AS (SELECT *, list_max(sc) AS top, CASE WHEN list_max(sc) > 0 THEN ({sql_list(ev.ROLES)})[list_position(sc, list_max(sc))] END AS role FROM s)
+    SELECT CASE WHEN x = '' THEN 'empty' WHEN top > 0 AND len(list_filter(sc, lambda v: v = top)) > 1 THEN 'excluded:ambiguous_block_classification' WHEN role <> 'result_block' THEN 'excluded:' || role WHEN role IS NULL AND NOT ({_LIKE}) THEN 'excluded:unknown_block_non_result'
+      WHEN {_SUPPRESSED} THEN 'excluded:preparse_threshold_note_citation_row' ELSE 'parsed' END AS route, count(*) AS blocks, count(DISTINCT id) AS observations FROM t GROUP BY 1"""
+)
+def dm32_block_routes(t: Tables) -> DataFrame:
+    """What becomes of the printed pieces of observations as blocks of a page, by role and evidence, counted."""
+    x = ev.compact(F.col("x"))
+    blocks = t.observation.select("id", F.explode(F.array("raw_text", "raw_analyte_label", "raw_reference_range")).alias("x")).select("id", x.alias("x"))
+    scored = blocks.withColumn("scores", ev.role_scores(F.col("x")))
+    return scored.groupBy(ev.block_route(F.col("x"), F.col("scores"), F.lit(0.0)).alias("route")).agg(F.count("*").alias("blocks"), F.count_distinct("id").alias("observations"))
+
+
 @query(
     f"""WITH r AS (SELECT *, lower({_SPACED('raw_text')}) AS x, CASE WHEN {_SPACED('raw_text')} = '' THEN 0 ELSE len(string_split({_SPACED('raw_text')}, ' ')) END AS words FROM extracted_row),
     w AS (SELECT id, CASE WHEN {_HITS(ev.SHADOWS)} > 0 AND NOT (coalesce(raw_unit_string, '') <> '' AND coalesce(raw_reference_range, '') <> '') THEN 'threshold_shadow'

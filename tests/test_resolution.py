@@ -117,3 +117,13 @@ def test_route_scores(spark):
     df = spark.createDataFrame([(1, "Glucose  RESULT"), (1, "clinical\nsummary"), (1, None), (2, "")], "d int, t string")
     got = {r.d: (r.lab, r.summary, r.admin) for r in routes.scores(df, "d", "t").collect()}
     assert got == {1: (2, 1, 0), 2: (0, 0, 0)}
+
+
+def test_block_routes(spark):
+    cases = [
+        ("Glucose 5.6 mmol/L", "parsed"), ("", "empty"), (None, "empty"), ("risk guideline", "excluded:ambiguous_block_classification"), ("very high risk", "excluded:threshold_block"), ("page  2", "excluded:ambiguous_block_classification"),
+        ("dob mrn", "excluded:admin_block"), ("clinical history comment", "excluded:narrative_block"), ("page of", "excluded:header_footer_block"), ("hello there", "excluded:unknown_block_non_result"), ("中" * 50_000, "excluded:unknown_block_non_result"),
+    ]
+    x = ev.compact(F.col("t"))
+    got = [r.r for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", ev.block_route(x, ev.role_scores(x), F.lit(0.0)).alias("r")).orderBy("i").collect()]
+    assert got == [w for _, w in cases]
