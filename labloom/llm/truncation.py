@@ -2,12 +2,12 @@
 
 1. Every field is brought into plain form with its numbers as '#', and held against the printed line of its own row: a
    field whose every place in the line goes on behind its end was cut.
-2. Near-copies: distinct texts, and their shapes (words before a colon or a bound as L, units as U), get min-hash
-   signatures of their beginnings at lengths that grow by half; the bands of a signature are buckets, in which a text meets
-   the equally long beginnings of its longer copies. In the order of a bucket each text is aligned as a whole, with one
-   edit in ten characters, with those that follow it. Where others go on behind the end of the alignment, and rows and
+2. Near-copies: distinct texts, and their shapes (words before a colon or a bound as L, units as U), meet all those that go
+   on behind them: in the order of equal beginnings, at lengths that grow by half, what goes on character by character; by
+   a piece that the edits left intact, what is aligned as a whole with one edit in ten characters. Every such pair is found,
+   whatever stands between the two in the order. Where others go on behind the end of the alignment, and rows and
    sources seldom end there, the text was cut. Numbers are masked there because copies of one printed form bear numbers of
-   their own; what numbers lost is found by step 4. No pairs are emitted: a text is counted against its bucket.
+   their own; what numbers lost is found by step 4. No pairs are emitted: a text is counted against its group.
 3. Texts without such a copy are scored by terminality: how often the word that closes them closes texts at all, against
    the texts it stands in and the longer words it begins (counted by the same operator). Units written as the rules for
    units allow are whole, their beginnings aren't.
@@ -27,8 +27,7 @@ from labloom.llm.plain import connect, plain_query, to_plain
 from labloom.operators.units import spellings
 
 FIELDS = ["raw_value_string", "raw_unit_string", "raw_reference_range"]
-#: Four bands of three hashes: equal beginnings always share a bucket, similar ones (0.8) in 94 cases of 100 at each size.
-HASHES, BAND_ROWS = 12, 3
+#: Edits in an alignment, at most.
 MOST_EDITS = 3
 #: What is aligned: texts, their shapes, and words.
 TEXTS, SHAPES, WORDS = range(3)
@@ -208,55 +207,17 @@ def _describe(units: frozenset[str]):
     return run
 
 
-def levels(length: int) -> list[int]:
-    """Lengths of the beginnings of a text of that many characters that are signed: 1, 2, 3, 4, 6, 9, 13, ... up to the whole of it."""
-    out, n = [], 1
-    while n <= length:
-        out.append(n)
-        n = max(n + 1, n * 3 // 2)
+def levels(first: int = 1) -> list[tuple[int, int]]:
+    """Lengths from first on that grow by half, each with the next: (1, 2), (2, 3), (3, 4), (4, 6), (6, 9), ... up to the longest string there can be."""
+    out, n, longest = [], first, 2**31 - 8
+    while n < longest:
+        out.append((n, min(max(n + 1, n * 3 // 2), longest)))
+        n = out[-1][1]
     return out
 
 
-def signatures(text: str, sizes: list[int]) -> list[list[int]]:
-    """Of the beginnings of a text the keys of the bands of their min-hash signatures over character trigrams."""
-    import numpy as np
-
-    u = np.uint64
-    rng = np.random.default_rng(7)
-    a, b = rng.integers(1, 1 << 61, HASHES, dtype=u) | u(1), rng.integers(0, 1 << 61, HASHES, dtype=u)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(u) + u(1)
-    grams = lambda c: (c[:-2] * u(0x9E3779B97F4A7C15)) ^ (c[1:-1] * u(0xC2B2AE3D27D4EB4F) + (c[2:] << u(17)))
-    least, done, out = np.full(HASHES, u(0xFFFFFFFFFFFFFFFF)), 0, []
-    mix = rng.integers(1, 1 << 61, BAND_ROWS, dtype=u) | u(1)
-    for size in sizes:
-        if size < 3:
-            g = grams(np.concatenate([codes[:size], np.zeros(3 - size, u)]))
-            now = _least(g, a, b)
-        else:
-            for i in range(done, size - 2, 4096):
-                least = np.minimum(least, _least(grams(codes[i : min(i + 4096, size - 2) + 2]), a, b))
-            done, now = size - 2, least
-        keys = (now.reshape(-1, BAND_ROWS) * mix).sum(axis=1, dtype=u) + np.arange(HASHES // BAND_ROWS, dtype=u)
-        out.append((keys ^ (keys >> u(29))).view(np.int64).tolist())
-    return out
-
-
-def _least(grams, a, b):
-    import numpy as np
-
-    h = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (((h ^ (h >> np.uint64(32)))[:, None] * a + b) >> np.uint64(3)).min(axis=0)
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (field, kind, text, by) with the sizes and band keys of the text's beginnings."""
-    for batch in batches:
-        signed = []
-        for text in batch.column(2).to_pylist():
-            sizes = levels(len(text))
-            signed.append([{"size": n, "upto": m, "keys": k} for n, m, k in zip(sizes, [*sizes[1:], max(sizes[-1] + 1, sizes[-1] * 3 // 2)], signatures(text, sizes), strict=True)] if sizes else [])
-        kind = pa.list_(pa.struct([("size", pa.int32()), ("upto", pa.int32()), ("keys", pa.list_(pa.int64()))]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, kind)], [*batch.schema.names, "signed"])
+#: Levels at which texts are aligned with edits: all texts of a level, (size, next size), are allowed as many.
+NOISY_LEVELS = [(10, 20), (20, 30), *levels(30)]
 
 
 def aligned(a: str, b: str, edits: int) -> int:
@@ -281,58 +242,195 @@ def tolerance(kind: int, length: int) -> int:
 
 
 def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over buckets sorted by text: every whole text with the rows and sources that end with it and that go on behind it.
+    """For mapInArrow over beginnings sorted by text: by source the rows that end with each whole text and that go on behind it, character by character.
 
-    What goes on behind a text follows it, so only those texts are held that the present one goes on behind. Each is
-    aligned with what follows, and with its neighbour before (where an edit has changed the order).
+    What goes on behind a text follows it in the order, so only the texts are held that the present one begins with. A full
+    stop at the end may stand or not: rows that add no more than it to a text go on behind those held that are shorter.
     """
-    names = ["field", "kind", "text", "ends", "end_sources", "goes_on", "on_sources", "sources"]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    held: list[list] = []  # [bucket, text, rows that end, rows, sources that end, sources, rows that go on, their sources, whether it goes on behind the one held before]
+    held: list[tuple] = []  # (level, text, rows that end by source, rows that go on by source)
     done: list[tuple] = []
-    before: list = [None, "", 0, set()]  # bucket, text, rows and sources of the neighbour before
-    present: list = [None, "", 0, set()]
 
     def close() -> None:
-        (field, kind, _, _), text, ends, m, closing, own, longer, others, behind = held.pop()
-        if ends:
-            done.append((field, kind, text, ends, len(closing), longer, len(others), len(own | others)))
+        (field, kind, _), text, own, longer = held.pop()
+        done.extend((field, kind, text, source, own.get(source, 0), longer.get(source, 0)) for source in {**own, **longer})
         if held:
-            held[-1][6] += m * behind + longer
-            held[-1][7] |= own | others if behind else others
-
-    def out() -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) or [()] * len(names)
-        done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            for source, m in longer.items():
+                held[-1][3][source] = held[-1][3].get(source, 0) + m
 
     for batch in batches:
-        for field, kind, size, key, text, source, m, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            bucket = (field, kind, size, key)
-            end = -1
-            while held and not (held[-1][0] == bucket and (end := aligned(held[-1][1], text, tolerance(kind, len(held[-1][1])))) >= 0):
+        for field, kind, size, text, reach, whole, source, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            level = (field, kind, size)
+            while held and not (held[-1][0] == level and text.startswith(held[-1][1])):
                 close()
-            if not held or held[-1][1] != text:
-                # beyond an alignment with edits more must stand than the edits could explain; a full stop may stand or not
-                behind = bool(held) and len(text[end:].rstrip(".")) > (0 if text.startswith(held[-1][1]) else tolerance(kind, len(held[-1][1])))
-                held.append([bucket, text, 0, 0, set(), set(), 0, set(), behind])
-                before, present = present, [bucket, text, 0, set()]
-                edits = tolerance(kind, len(text))
-                if edits and before[0] == bucket and not text.startswith(before[1]) and (end := aligned(text, before[1], edits)) >= 0 and len(before[1][end:].rstrip(".")) > edits:
-                    held[-1][6] += before[2]
-                    held[-1][7] |= before[3]
-            present[2] += m
-            present[3].add(source)
-            top = held[-1]
-            top[2] += ends
-            top[3] += m
-            top[5].add(source)
-            if ends:
-                top[4].add(source)
-        yield out()
+            if whole:
+                if not held or held[-1][1] != text:
+                    held.append((level, text, {}, {}))
+                held[-1][2][source] = held[-1][2].get(source, 0) + m
+            for _, before, _, longer in reversed(held):
+                if len(before) < reach:
+                    longer[source] = longer.get(source, 0) + m
+                    break
+        yield _counted(done)
     while held:
         close()
-    yield out()
+    yield _counted(done)
+
+
+COUNTED = "field int, kind int, text string, source string, ends bigint, goes_on bigint"
+
+
+def _counted(done: list[tuple]) -> pa.RecordBatch:
+    """The rows done so far, of the columns COUNTED; the list is emptied."""
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    columns = list(zip(*done, strict=True)) or [()] * len(types)
+    done.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["field", "kind", "text", "source", "ends", "goes_on"])
+
+
+def pieces(size: int, edits: int) -> list[tuple[int, int]]:
+    """The first so many characters in one piece more than edits: an alignment with so many leaves one whole."""
+    return [(i * size // (edits + 1), (i + 1) * size // (edits + 1)) for i in range(edits + 1)]
+
+
+def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over beginnings (field, size, text, reach, whole, by): the pieces by which those meet that align with edits.
+
+    Let piece i be the first one with no more than i edits before its end: it is intact, and behind exactly i edits. So a
+    copy has it in its place or up to i characters beside it.
+    """
+    for batch in batches:
+        keys = []
+        for size, text, whole in zip(*(batch.column(c).to_pylist() for c in ("size", "text", "whole")), strict=True):
+            own = {}
+            for i, (start, stop) in enumerate(pieces(size, tolerance(TEXTS, size))):
+                for shift in (0, *range(-i, 0), *range(1, i + 1)):
+                    if stop + shift <= len(text):
+                        own.setdefault((i, text[start + shift : stop + shift]), whole and not shift)
+            keys.append([{"at": i, "piece": piece, "first": first} for (i, piece), first in own.items()])
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.string()), ("first", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, kind)], [*batch.schema.names, "keys"])
+
+
+#: Fills up a row of characters.
+NO_CHARACTER = 0xFFFFFFFF
+
+
+def _matrix(texts: list[str]):
+    """The characters of texts as a matrix, filled up with what equals none."""
+    import numpy as np
+
+    lengths = np.array([len(x) for x in texts])
+    out = np.full((len(texts), lengths.max()), NO_CHARACTER, np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _pairs_of_characters(matrix, spread: int):
+    """Which pairs of neighbouring characters each text has in which eight places, or with spread up to so many places beside, as 512 bits."""
+    import numpy as np
+
+    u = np.uint32
+    hashed, at = matrix[:, :-1] * u(0x9E3779B1) ^ matrix[:, 1:] * u(0x85EBCA77), np.arange(matrix.shape[1] - 1)
+    bits, there = np.zeros((len(matrix), 513), np.uint8), matrix[:, 1:] != NO_CHARACTER
+    for shift in {-spread, spread}:
+        bits[np.arange(len(matrix))[:, None], np.where(there, (hashed + ((at + shift) >> 3).astype(u) * u(0xC2B2AE35)) * u(0x27D4EB2F) >> u(23), u(512))] = 1
+    return np.packbits(bits[:, :512], axis=1).view(np.uint64)
+
+
+def _may_align(text, others, edits: int):
+    """Which rows of a matrix of characters a text can be aligned with: by edits and diagonals how far it is used up at most."""
+    import numpy as np
+
+    n, wide, ahead = len(text), others.shape[1], {}
+    for d in range(-edits, edits + 1):
+        ahead[d] = np.full((len(others), n + 1), n, np.int32)  # the next place where they differ
+        low, high = max(0, -d), max(max(0, -d), min(n, wide - d))
+        places = np.arange(n)
+        ahead[d][:, :n] = places
+        ahead[d][:, low:high] = np.where(others[:, low + d : high + d] == text[low:high], n, places[low:high])
+        ahead[d] = np.minimum.accumulate(ahead[d][:, ::-1], axis=1)[:, ::-1]
+    rows = np.arange(len(others))
+    far = {0: ahead[0][:, 0]}
+    for _ in range(edits):
+        now = {}
+        for d in range(min(far) - 1, max(far) + 2):
+            steps = [far[d] + 1] if d in far else []
+            steps += [far[d + 1] + 1] if d + 1 in far else []
+            steps += [far[d - 1]] if d - 1 in far else []
+            now[d] = ahead[d][rows, np.minimum(np.maximum.reduce(steps), n)]
+        far = now
+    return np.maximum.reduce(list(far.values())) == n
+
+
+#: Characters that are compared at once.
+AT_ONCE = 1 << 20
+
+
+def _noisy_continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over beginnings sorted by piece: by source the rows that go on behind each whole text in an alignment with edits.
+
+    Each whole text is aligned with every beginning that has the piece, whatever their order; a pair that meets by several
+    pieces counts at the first behind which the rest aligns. In large groups those are passed over before that lack more
+    pairs of characters than edits explain, or that can't be aligned on any diagonal.
+    """
+    import numpy as np
+
+    done: list[tuple] = []
+    group: list[tuple] = []  # (text, reach, whether it is whole and has the piece in its place, lists of sources and rows, from, to)
+    present = None
+
+    def count() -> None:
+        field, size, at, _ = present
+        edits = tolerance(TEXTS, size)
+        places = pieces(size, edits)
+        wholes, others = [x for x in group if x[2]], [x for x in group if x[1] > size]
+        group.clear()
+        if not wholes or not others:
+            return
+
+        def meets(text: str, other: str, i: int) -> bool:
+            start, stop = places[i]
+            return any(other.startswith(text[start:stop], start + d) and aligned(text[start:], other[start + d :], edits - i) >= 0 for d in range(-i, i + 1))
+
+        step = max(1, AT_ONCE // max(len(x[0]) for x in [*wholes, *others]))
+        parts = lambda xs: (xs[i : i + step] for i in range(0, len(xs), step))
+        for these, some in ((x, y) for x in parts(wholes) for y in parts(others)):
+            if large := len(these) * len(some) > 32:
+                own, matrix, reaches = _matrix([x[0] for x in these]), _matrix([x[0] for x in some]), np.array([x[1] for x in some])
+                has, lacks = _pairs_of_characters(own, 0), ~_pairs_of_characters(matrix, edits)
+            for k, (text, *_) in enumerate(these):
+                near = range(len(some))
+                if large:
+                    near = np.flatnonzero((reaches > len(text)) & (np.bitwise_count(has[k] & lacks).sum(axis=1) <= 2 * edits))
+                    if len(near) > 8:
+                        near = near[_may_align(own[k, : len(text)], matrix[near, : len(text) + edits], edits)]
+                    near = near.tolist()
+                longer: dict = {}
+                for j in near:
+                    other, reach, _, sources, ms, start, stop = some[j]
+                    # what goes on character by character is counted by _continuations
+                    if reach <= len(text) or other.startswith(text) or at and not meets(text, other, at) or any(meets(text, other, i) for i in range(at)):
+                        continue
+                    # beyond an alignment with edits more must stand than the edits could explain; a full stop may stand or not
+                    if (end := aligned(text, other, edits)) >= 0 and reach - end > edits:
+                        for i in range(start, stop):
+                            longer[sources[i]] = longer.get(sources[i], 0) + ms[i]
+                done.extend((field, TEXTS, text, source, 0, m) for source, m in longer.items())
+
+    for batch in batches:
+        *columns, by = batch.columns
+        offsets, counts = np.asarray(by.offsets), by.flatten()
+        offsets, sources, ms = (offsets - offsets[0]).tolist(), counts.field("source").to_pylist(), counts.field("m").to_pylist()
+        for field, size, at, piece, text, reach, first, start, stop in zip(*(c.to_pylist() for c in columns), offsets[:-1], offsets[1:], strict=True):
+            if present != (key := (field, size, at, piece)):
+                if group:
+                    count()
+                present = key
+            group.append((text, reach, first, sources, ms, start, stop))
+        yield _counted(done)
+    if group:
+        count()
+    yield _counted(done)
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -344,17 +442,29 @@ def near_copies(texts: DataFrame) -> DataFrame:
     """Of texts (field, kind, text, by array<struct<source, m>>) those that go on behind others.
 
     Comes out as (field, kind, text, ends, end_sources, goes_on, on_sources, sources): rows and sources that end with the
-    text, that go on behind it in an alignment of its whole, and both. Every beginning of a text, at lengths that grow by
-    half, gets a min-hash signature, whose bands are buckets; a text and the equally long beginning of its longer copy meet
-    there. In the bucket of a size a text is needed only up to the next size, so what begins alike is added up before the
-    shuffle, and a beginning that a third of all texts have is one row for each source. No pairs are emitted.
+    text, that go on behind it in an alignment of its whole, and both. Every text and every continuation of it meet, at one
+    of the lengths that grow by half: in the order of equal beginnings where they agree, by a piece that the edits left
+    intact where they don't. At a length a text is needed only up to the next one, so what begins alike is added up. No
+    pairs are emitted, and each counts once.
     """
-    signed = _spread(texts, "field", "kind", "text").mapInArrow(_sign, "field int, kind int, text string, by array<struct<source:string,m:bigint>>, signed array<struct<size:int,upto:int,keys:array<bigint>>>")
-    each = signed.select("field", "kind", "text", "by", F.explode("signed").alias("s")).select("field", "kind", "s.size", F.substring("text", F.lit(1), F.col("s.upto") + F.when(F.col("kind") == TEXTS, MOST_EDITS + 1).otherwise(0)).alias("begin"), (F.length("text") < F.col("s.upto")).alias("whole"), F.explode("s.keys").alias("key"), "by")
-    each = each.select("field", "kind", "size", "key", "begin", "whole", F.explode("by").alias("b")).groupBy("field", "kind", "size", "key", "begin", F.col("b.source").alias("source")).agg(F.sum("b.m").alias("m"), F.sum(F.when(F.col("whole"), F.col("b.m")).otherwise(0)).alias("ends"))
-    bucket = ["field", "kind", "size", "key"]
-    found = each.repartition(*bucket).sortWithinPartitions(*bucket, "begin").select(*bucket, "begin", "source", "m", "ends").mapInArrow(_continuations, "field int, kind int, text string, ends bigint, end_sources bigint, goes_on bigint, on_sources bigint, sources bigint")
-    return found.groupBy("field", "kind", "text").agg(*[F.max(c).alias(c) for c in ("ends", "end_sources", "goes_on", "on_sources", "sources")])
+    long, stripped = F.length("text"), F.expr("length(trim(TRAILING '.' FROM text))")
+    listed = lambda sizes, more: F.filter(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(m).alias("upto"), F.lit(more(n)).alias("more")) for n, m in sizes]), lambda s: s["size"] <= long)
+    begun = lambda df, sizes, more: df.select("field", "kind", "text", "by", F.explode(listed(sizes, more)).alias("s")).select("field", "kind", "s.size", F.substring("text", F.lit(1), F.col("s.upto") + F.col("s.more")).alias("begin"), F.least(stripped, F.col("s.upto") + F.col("s.more")).alias("reach"), (long < F.col("s.upto")).alias("whole"), F.explode("by").alias("b")).select("*", "b.source", "b.m").drop("b")
+    spread = _spread(texts, "field", "kind", "text")
+    each = begun(spread, levels(), lambda _: 0).groupBy("field", "kind", "size", "begin", "reach", "whole", "source").agg(F.sum("m").alias("m"))
+    level = ["field", "kind", "size"]
+    exact = each.repartition(*level, F.substring("begin", F.lit(1), F.col("size"))).sortWithinPartitions(*level, "begin").select(*level, "begin", "reach", "whole", "source", "m").mapInArrow(_continuations, COUNTED)
+    noisy = begun(spread.where(F.col("kind") == TEXTS), NOISY_LEVELS, lambda n: 2 * tolerance(TEXTS, n)).repartition("field", "size", "begin")
+    one = ["field", "size", "begin", "reach", "whole"]
+    noisy = noisy.groupBy(*one, "source").agg(F.sum("m").alias("m")).groupBy(*one).agg(F.collect_list(F.struct("source", "m")).alias("by"))
+    by = "by array<struct<source:string,m:bigint>>"
+    noisy = noisy.withColumnRenamed("begin", "text").mapInArrow(_cut_pieces, f"field int, size int, text string, reach int, whole boolean, {by}, keys array<struct<at:int,piece:string,first:boolean>>")
+    key = ["field", "size", "at", "piece"]
+    noisy = noisy.select("*", F.explode("keys").alias("k")).select("field", "size", "k.at", "k.piece", "text", "reach", "k.first", "by")
+    noisy = noisy.repartition(*key).sortWithinPartitions(*key).mapInArrow(_noisy_continuations, COUNTED)
+    found = exact.unionByName(noisy).groupBy("field", "kind", "text", "source").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    some = lambda c: F.count_if(F.col(c) > 0)
+    return found.groupBy("field", "kind", "text").agg(F.sum("ends").alias("ends"), some("ends").alias("end_sources"), F.sum("goes_on").alias("goes_on"), some("goes_on").alias("on_sources"), F.count("*").alias("sources"))
 
 
 def cut_texts(texts: DataFrame, units: frozenset[str]) -> DataFrame:

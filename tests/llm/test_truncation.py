@@ -142,6 +142,37 @@ def test_noisy_copies_meet(spark):
     assert all(v[2] == 0 for v in got.values())
 
 
+def test_every_noisy_continuation_counts(spark):
+    """As by aligning each text with each other, wherever the edits are and whatever stands between the two in the order."""
+    rng = random.Random(8)
+    stems = ["light growth of mixed flora after overnight incubation, repeated twice", "light growth seen", "women: # - # mg/dl; men: # - # mg/dl."]
+    texts = {s[: rng.randrange(8, len(s) + 1)] for s in stems for _ in range(60)}
+    for text in sorted(texts):
+        for _ in range(rng.randrange(6)):
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(text))
+                text = text[:i] + rng.choice(["", "x", text[i] + "y", "."]) + text[i + 1 :]
+            texts.add(text + rng.choice(["", ".", "..", "  more", " and more to say"]))
+    data = [(rng.randrange(2), rng.choice("pqrs"), rng.randrange(1, 5), t) for t in sorted(texts) for _ in range(rng.randrange(1, 3)) if t]
+
+    def goes_on(a, b):
+        edits = 0 if b.startswith(a) else min(len(a) // 10, 3)
+        return a != b and (end := aligned(a, b, edits)) >= 0 and len(b[end:].rstrip(".")) > edits
+
+    want = {}
+    for f, t in {(f, t) for f, _, _, t in data}:
+        own = [(m, s) for f2, s, m, x in data if (f2, x) == (f, t)]
+        on = [(m, s) for f2, s, m, x in data if f2 == f and goes_on(t, x)]
+        want[f, t] = (sum(m for m, _ in own), len({s for _, s in own}), sum(m for m, _ in on), len({s for _, s in on}), len({s for _, s in own + on}))
+    assert near(spark, data, TEXTS) == want
+
+
+@pytest.mark.parametrize("kind", [TEXTS, WORDS])
+def test_full_stop_goes_on_behind_shorter_texts(spark, kind):
+    got = near(spark, [(0, "a", 1, "ab"), (0, "a", 2, "abc"), (0, "b", 4, "abc."), (0, "c", 8, "abc.d")], kind)
+    assert {k: v[2:4] for (_, k), v in got.items()} == {"ab": (14, 3), "abc": (8, 1), "abc.": (8, 1), "abc.d": (0, 0)}
+
+
 def test_short_beginnings_meet_their_continuations(spark):
     got = near(spark, [(1, "a", 9, "mg/dL"), (1, "b", 1, "mg"), (1, "b", 2, "m"), (1, "c", 4, "mg/")], TEXTS)
     assert {k: v[2] for (_, k), v in got.items()} == {"m": 14, "mg": 13, "mg/": 9, "mg/dL": 0}
